@@ -38,6 +38,11 @@ class Texts:
     def __iter__(self) -> Iterator[tuple[int, bytes]]:
         return zip(self.ids.tolist(), text_bytes(self.table.column("text")), strict=True)
 
+    def replaced(self, texts: list[bytes]) -> pa.Table:
+        """The documents with other texts."""
+        table = self.table.drop_columns(["chunk"])
+        return table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
+
 
 class Run:
     """Distinct keys in ascending order, each with the smallest id of its documents."""
@@ -99,6 +104,18 @@ def chunked(docs: DataFrame, keep_rest: bool = False) -> tuple[DataFrame, int, i
     return docs.select(document_chunk(F.col("doc_id"), F.col("text"), chunks).alias("chunk"), "doc_id", "text", *rest), chunks, buckets
 
 
+def replaced_schema(rows: DataFrame) -> StructType:
+    return StructType([f for f in rows.schema.fields if f.name != "chunk"])
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from doc_id, text and rest; n_chars follows the text."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+
+
 def emit(docs: DataFrame, buckets: int, run: Callable[[Texts], Run]) -> DataFrame:
     """A run for each chunk, cut by bucket."""
 

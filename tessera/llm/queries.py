@@ -2,7 +2,31 @@
 
 from __future__ import annotations
 
+from . import chat_format
+from .bpe import op9_bpe_encoding
+from .chat_format import op7_chat_formatting
+from .license_scan import op10_license_scan
+from .line_dedup import op8_line_dedup
+from .media import op1_media_columns
+from .ngram_join import op6_ngram_join
+from .packing import op5_best_fit_packing
+from .quality import op4_quality_rules
 from .substring_dedup import op3_substring_dedup
+from .suffix_dedup import op2_suffix_array_dedup
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_columns,
+        op2_suffix_array_dedup,
+        op3_substring_dedup,
+        op4_quality_rules,
+        op5_best_fit_packing,
+        op6_ngram_join,
+        op7_chat_formatting,
+        op8_line_dedup,
+        op9_bpe_encoding,
+        op10_license_scan,
+    )
+}
+ORACLE_SQL = {"op7_chat_formatting": chat_format.SQL}
