@@ -1,0 +1 @@
+"""Tessera: semantic search over source trees and document corpora, as Spark plans."""
