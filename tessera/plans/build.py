@@ -65,7 +65,7 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     moved = moved.withColumn("context", F.regexp_replace("context", r"^\[file: [^\n]*\]", F.concat(F.lit("[file: "), F.regexp_replace("filePath", r"([\\$])", r"\\$1"), F.lit("]")))).withColumn("id", chunk_id(F.col("filePath"), F.col("startLine") - 1, F.col("hash")))
 
     say("chunk", 0, 1)
-    texts = tree.join(fresh, "filePath").select("filePath", F.decode("content", F.lit("UTF-8")).alias("text"))
+    texts = tree.join(fresh, "filePath").select("filePath", F.decode("content", "UTF-8").alias("text"))
     chunks = chunker(texts).join(fresh, "filePath")
     sized = within_size(chunks, config.max_tokens if config else None)
     # Chunks of equal header and content as stored ones keep their vectors.
@@ -79,7 +79,7 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     made = embedded(distinct, embedder, dimensions=store.metadata().get("dimensions"), batch=batch).cache()
     ready = novel.join(made, "embedKey").select(*sized.columns, "vector")
     rows = reused.select(*sized.columns, "vector").unionByName(ready).cache()
-    counts = rows.agg(F.count_if("vector IS NOT NULL"), F.count_if("vector IS NULL")).first()
+    counts = rows.agg(F.count_if(F.col("vector").isNotNull()), F.count_if(F.col("vector").isNull())).first()
     out.succeeded, out.failed = counts[0], counts[1]
     out.oversize = chunks.count() - rows.count()
 

@@ -22,7 +22,7 @@ def issues(chunks: DataFrame, manifest: DataFrame, tree: DataFrame, branch: str,
     old = changes.stale(manifest, disk, branch)
     settled = own.join(disk, ["filePath", "fileHash"], "left_semi")
     stored = chunks.join(settled.select("filePath", "fileHash"), ["filePath", "fileHash"], "left_semi")
-    texts = tree.join(settled.select("filePath"), "filePath", "left_semi").select("filePath", F.decode("content", F.lit("UTF-8")).alias("text"))
+    texts = tree.join(settled.select("filePath"), "filePath", "left_semi").select("filePath", F.decode("content", "UTF-8").alias("text"))
     wrong = changes.mismatched(stored, within_size(chunker(texts), max_tokens))
     tag = lambda df, issue: df.select("filePath", F.lit(issue).alias("issue"))
     return tag(gone, "orphaned").unionByName(tag(old, "stale")).unionByName(tag(wrong, "mismatch"))

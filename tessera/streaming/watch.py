@@ -39,7 +39,7 @@ def watch(index: object, once: bool = False, folder: str | None = None) -> objec
         raise RuntimeError("another process writes this index")
     index.build()
     root = index.project.root
-    stream = index.spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    stream = index.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     paths = stream.select(F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), len(base) + 2, 1 << 30).alias("filePath"), "modificationTime")
 
