@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format
+from . import chat_format, sql
 from .bpe import op9_bpe_encoding
 from .chat_format import op7_chat_formatting
 from .license_scan import op10_license_scan
@@ -29,4 +29,10 @@ QUERIES = {
         op10_license_scan,
     )
 }
-ORACLE_SQL = {"op7_chat_formatting": chat_format.SQL}
+ORACLE_SQL = {
+    "op2_suffix_array_dedup": sql.SUFFIX_DEDUP,
+    "op3_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op6_ngram_join": sql.NGRAM_JOIN,
+    "op7_chat_formatting": chat_format.SQL,
+    "op8_line_dedup": sql.LINE_DEDUP,
+}
