@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one chunk, and so one Python task step, holds on average.
-CHUNK_BYTES = 8 << 20
-#: Bytes of text for each bucket of the block exchange.
-BUCKET_BYTES = 32 << 20
+#: Bytes of text that one chunk, and so one Python task step, holds on average, and for each bucket of the block exchange.
+#: A Python worker needs about 20 times a chunk and 12 times a bucket. The exchange has chunks x buckets blocks, so inputs
+#: of many TB want larger ones: spark.tessera.chunkBytes and spark.tessera.bucketBytes set them (268435456 each at 100 TB).
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 #: Bytes of an Arrow batch handed to Python.
 BATCH_BYTES = 8 << 20
 #: Word hashes a worker remembers before it starts anew.
@@ -137,5 +137,7 @@ def document_chunk(doc_id: Column, text: Column, chunks: int) -> Column:
 def sizes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """(chunks, buckets) for the texts of ``df``: they follow its bytes and the cluster's shuffle partitions."""
     total = df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * partitions, -(-total // CHUNK_BYTES)), max(partitions, -(-total // BUCKET_BYTES))
+    conf = df.sparkSession.conf
+    partitions = int(conf.get("spark.sql.shuffle.partitions"))
+    chunk, bucket = (int(conf.get(f"spark.tessera.{name}", str(size))) for name, size in (("chunkBytes", CHUNK_BYTES), ("bucketBytes", BUCKET_BYTES)))
+    return max(2 * partitions, -(-total // chunk)), max(partitions, -(-total // bucket))
