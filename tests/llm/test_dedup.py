@@ -128,8 +128,6 @@ def test_cut_keeps_white_space():
 def test_overlaps(sets, split):
     rows = [np.array(sorted(s), np.uint64) for s in sets]
     whole = [[len(a & b) for b in sets] for a in sets]
-    full = overlaps(rows, None)
-    assert all(full[i, j] == whole[i][j] for i in range(len(sets)) for j in range(len(sets)) if i != j)
     split = min(split, len(rows))
     assert overlaps(rows[:split], rows[split:]).tolist() == [row[split:] for row in whole[:split]]
 
@@ -142,6 +140,6 @@ def test_components(spark):
 
 def test_text_is_shuffled_once(frame):
     out = substring_dedup(frame)
-    out.count()
+    out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
     assert blocks.chunked(frame)[0].columns == ["chunk", "doc_id", "text"]
