@@ -432,6 +432,72 @@ def comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" , ", "lang", "source").alias("list")).select("doc_id", "list", F.size(items).cast("long").alias("n"), F.array_join(items, "|").alias("items"))
 
 
+@query(f"SELECT filePath, fileHash FROM {_FILES} ORDER BY filePath LIMIT 50 OFFSET 100")
+def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of a scan in a total order."""
+    return files(spark, sf_dir).select("filePath", "fileHash").orderBy("filePath").offset(100).limit(50)
+
+
+@query(f"SELECT filePath, fileHash, CASE WHEN doc_id % 4 = 0 THEN 'main' ELSE lang END AS branch FROM {_FILES}")
+def null_branch_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest rows of before there were branches belong to the current one."""
+    rows = files(spark, sf_dir).withColumn("branch", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    return rows.select("filePath", "fileHash", F.coalesce("branch", F.lit("main")).alias("branch"))
+
+
+@query(f"SELECT filePath, fileHash FROM {_BRANCHED} WHERE branch <> 'main' AND filePath IN (SELECT filePath FROM {_NOW})")
+def other_branches_have(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branched(spark, sf_dir).where("branch <> 'main'").join(now(spark, sf_dir).select("filePath"), "filePath", "left_semi").select("filePath", "fileHash")
+
+
+@query(f"SELECT filePath FROM {_CHUNKS} UNION SELECT filePath FROM {_THEN}")
+def union_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).select("filePath").union(then(spark, sf_dir).select("filePath")).distinct()
+
+
+@query("SELECT CAST(max(len(embedding)) AS INTEGER) AS dimensions FROM embeddings")
+def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.dimension(vectors(spark, sf_dir))
+
+
+@query(f"SELECT '/srv/other/' || filePath AS filePath FROM {_FILES}")
+def project_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select(F.concat(F.lit("/srv/other/"), "filePath").alias("filePath"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'anonymous_' || doc_id END AS name FROM documents")
+def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.node_name(named, F.col("doc_id")).alias("name"))
+
+
+_KINDS = {"class_definition": ("definition", "class"), "impl_item": ("implementation", "impl"), "export_statement": ("orchestration", "export_statement"), "ContainerDecl": ("definition", "container"), "pair": ("implementation", "pair")}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(repr((k, *v)) for k, v in _KINDS.items()) + ") t(type, role, scope)")
+def roles_and_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in _KINDS], "type string").select("type", T.role(F.col("type")).alias("role"), T.scope_kind(F.col("type")).alias("scope"))
+
+
+@query("SELECT * FROM (VALUES ('a.py', 'python'), ('b.tsx', 'tsx'), ('c.hpp', 'cpp'), ('d.sql', NULL), ('e', NULL)) t(filePath, language)")
+def language_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in ("a.py", "b.tsx", "c.hpp", "d.sql", "e")], "filePath string").select("filePath", T.language(F.col("filePath")).alias("language"))
+
+
+@query("SELECT * FROM (VALUES ('tesseraamber0123456789', true), ('tessera0123456789', false), ('amber0123456789', false)) t(code, valid)")
+def share_code_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = ("tesseraamber0123456789", "tessera0123456789", "amber0123456789")
+    return spark.createDataFrame([(c,) for c in codes], "code string").select("code", secrets.is_share_code(F.col("code")).alias("valid"))
+
+
+@query(f"WITH c AS (SELECT id, lang FROM {_CHUNKS}) SELECT id FROM c WHERE lang IN ('en', 'de') UNION SELECT id FROM c WHERE lang IN ('de', 'fr')")
+def import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported chunks join the stored ones but for ids that are there."""
+    rows = chunks(spark, sf_dir)
+    stored, brought = rows.where("lang IN ('en', 'de')").select("id"), rows.where("lang IN ('de', 'fr')").select("id").distinct()
+    return stored.unionByName(brought.join(stored, "id", "left_anti"))
+
+
 # ---- text search -------------------------------------------------------------------------------------------------
 
 DIMENSIONS = 64
