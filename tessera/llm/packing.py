@@ -16,11 +16,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,37 +31,72 @@ SEQUENCE, END_ID = 4096, 1
 OPEN_BINS = 4096
 #: Tokens of a group, most and least, and rows of it at most.
 GROUP_TOKENS, LEAST_TOKENS, GROUP_ROWS = 8 << 20, 1 << 20, 200_000
-#: Stretches without blanks that a worker remembers the ids of, of so many characters at most.
-CACHED, CACHED_CHARS = 1 << 18, 64
+#: Stretches without blanks that a worker remembers the ids of, of so many characters at most; and how many are encoded at once.
+CACHED, CACHED_CHARS, ENCODED_AT_ONCE = 1 << 20, 64, 2048
 
-_STRETCH = re.compile(r"[^ \t\n\r]+")
+_STRETCH = re.compile(r"[^ \t\n\r]+").findall
+#: Characters that all versions of Unicode lower, normalise and class alike.
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch
+#: The vocabulary's pattern: a fixed value.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
 
-class Tokens(dict):
-    """Ids of stretches of text between blanks: this vocabulary drops white space and never joins across it."""
+class Tokens:
+    """Ids of texts, as little-endian unsigned 32-bit values, by the ids of their stretches between blanks: this vocabulary drops white space and never joins across it.
+
+    A worker remembers stretches and the lower-case pieces that the vocabulary's pattern cuts them into. Pieces that are new are
+    encoded many at a time; the last token of each is one that ends a word. Stretches with other characters than Latin
+    ones, or that may hold a special token, are encoded as they are.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-
-    def __missing__(self, stretch: str) -> list[int]:
-        ids = self.tokenizer.encode(stretch, add_special_tokens=False).ids
-        if len(stretch) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-    def of(self, text: str) -> array:
-        ids = array("I")
-        for part in map(self.__getitem__, _STRETCH.findall(text)):
-            ids.extend(part)
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stretches: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        for a in range(0, len(pieces), ENCODED_AT_ONCE):
+            part = pieces[a : a + ENCODED_AT_ONCE]
+            ids = self.encoded(" ".join(part))
+            raw, last = ids.tobytes(), np.flatnonzero(self.ends[ids]) * 4 + 4
+            self.pieces.update((p, raw[x:y]) for p, x, y in zip(part, [0, *last.tolist()], last.tolist(), strict=False))
+
+    def learn(self, stretches: set[str]) -> None:
+        plain = [s for s in stretches if _PLAIN(s) and "<|" not in s]
+        cut = [_PIECES(s.lower()) for s in plain]
+        new = set().union(*cut).difference(self.pieces)
+        if len(self.pieces) + len(new) > CACHED:
+            self.pieces.clear()
+            new = set().union(*cut)
+        self.learn_pieces(list(new))
+        self.stretches.update((s, self.pieces[c[0]] if len(c) == 1 else b"".join(map(self.pieces.__getitem__, c))) for s, c in zip(plain, cut, strict=True))
+        self.stretches.update((s, self.encoded(s).tobytes()) for s in stretches.difference(plain))
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text of a batch."""
+        cut = [_STRETCH(t) for t in texts]
+        known = self.stretches
+        new = set().union(*cut).difference(known)
+        if len(known) + len(new) > CACHED:
+            known.clear()
+            new = set().union(*cut)
+        self.learn(new)
+        for stretches in cut:
+            yield b"".join(map(known.__getitem__, stretches))
+        for s in new:
+            if len(s) > CACHED_CHARS:
+                del known[s]
 
 
 @lru_cache(2)
@@ -71,12 +107,14 @@ def loaded(path: str) -> Tokens:
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of at most ``sequence`` tokens."""
 
+    end = np.array([end_id], "<u4").tobytes()
+
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            ids = loaded(path).of(text.as_py() or "")
-            ids.append(end_id)
-            out += [(doc_id, k, a, len(cut), zlib.crc32(cut)) for k, a in enumerate(range(0, len(ids), sequence)) if (cut := ids[a : a + sequence])]
+        texts = [text or "" for text in batch.column("text").to_pylist()]
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), loaded(path).of(texts), strict=True):
+            ids, width = memoryview(ids + end), 4 * sequence
+            out += [(doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut)) for k, a in enumerate(range(0, len(ids), width)) if (cut := ids[a : a + width])]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
