@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from ..sources.files import ignore_rules
 from ..sources.ignore import DEFAULT_IGNORE, Matcher, extensions
 from ..types import BuildOptions
 
@@ -44,7 +45,7 @@ def watch(index: object, once: bool = False, folder: str | None = None) -> objec
     paths = stream.select(F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), len(base) + 2, 1 << 30).alias("filePath"), "modificationTime")
 
     def batch(rows: DataFrame, _: int) -> None:
-        ignored = Matcher([*DEFAULT_IGNORE, *index.config.ignore])
+        ignored = ignore_rules(index.spark, root, index.config.ignore)
         changed = sorted({r[0] for r in wanted(rows.select("filePath")).toLocalIterator() if not ignored(r[0])})
         if changed:
             index.build(BuildOptions(files=changed))
