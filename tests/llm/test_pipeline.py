@@ -32,7 +32,8 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "quality_rules":
             assert rows and all(not brute.op4_base(t)[-1] for _, t in rows)
             kept = {i for i, _ in rows}
-            assert {i for i, t in have if not brute.op4_base(t)[-1] and i < 40} <= kept
+            # 12 has twenty copies in the corpus and none in the target, so that the ratio speaks against it.
+            assert {i for i, t in have if not brute.op4_base(t)[-1] and i < 40 and i != 12} <= kept
         elif name == "line_dedup":
             assert sorted((i, brute.sha(t)) for i, t in rows) == sorted((i, s) for i, _, _, s in brute.op8(have))
         elif name == "ngram_join":
