@@ -13,8 +13,10 @@ never formed as a whole:
 * Rows that share such an n-gram meet in the group of its leader, the row with the
   fewest unique n-grams among those that share it. Rows that share several meet
   in few groups, since near copies have the same leader.
-* A group is cut into blocks of ``BLOCK_ROWS`` rows. Each pair of blocks is one
-  product: overlap counts are accumulated column by column in a small dense
+* The leader's row is multiplied with all rows of the group first. Rows that link
+  to it are of one component already; only the others meet the whole group.
+* For that, a group is cut into blocks of ``BLOCK_ROWS`` rows. Each pair of blocks is
+  one product: overlap counts are accumulated column by column in a small dense
   matrix, and pairs below the bound t / (1 + t) (n_x + n_y) are discarded. Of the
   links left, a spanning forest is emitted: fewer links than rows, and the same
   components.
@@ -97,10 +99,9 @@ def incidence(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return blocks.finish(rows, answers, apply, "doc_id long, n long, signature binary, n_unique long, first array<long>, shared binary")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
-    """Overlap counts of each left row with each right one (None: the left ones), column by column."""
-    sets = left + (right or [])
-    n, m = len(left), len(right) if right is not None else len(left)
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of each left row with each right one, column by column."""
+    sets, n, m = left + right, len(left), len(right)
     counts = np.zeros(n * m, np.int32)
     flat, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.lexsort((owner, flat))
@@ -111,18 +112,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
         columns = owner[starts[widths == width][:, None] + np.arange(width)]
         for i in range(width):
             for j in range(width):
-                x, y = columns[:, i], columns[:, j]
-                if right is not None:
-                    keep = (x < n) & (y >= n)
-                    x, y = x[keep], y[keep] - n
-                if len(x) and (right is not None or i != j):
-                    np.add.at(counts, x * m + y, 1)
+                keep = (columns[:, i] < n) & (columns[:, j] >= n)
+                np.add.at(counts, columns[keep, i] * m + columns[keep, j] - n, 1)
     counts = counts.reshape(n, m)
     for start, width in zip(starts[widths > _NARROW].tolist(), widths[widths > _NARROW].tolist(), strict=True):
         rows = owner[start : start + width]
-        x, y = (rows, rows) if right is None else (rows[rows < n], rows[rows >= n] - n)
-        if len(x) and len(y):
-            counts[np.ix_(x, y)] += 1
+        counts[np.ix_(rows[rows < n], rows[rows >= n] - n)] += 1
     return counts
 
 
@@ -142,42 +137,69 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _sets(table: pa.Table, rows: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shared").take(pa.array(rows))]
+
+
+def _linked(counts: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs at or above the bound that their sizes give."""
+    return (counts > 0) & (counts.astype(np.int64) * (100 + percent) >= percent * (n_left[:, None] + n_right[None, :]))
+
+
+def star(table: pa.Table, percent: int) -> pa.Table:
+    """(leader, doc_id, linked): the rows of a part of a group against its leader, one row of the matrix."""
+    ids, n = (np.asarray(table.column(c)) for c in ("doc_id", "n"))
+    leader = table.column("leader")[0].as_py()
+    own, others = np.flatnonzero(ids == leader), np.flatnonzero(ids != leader)
+    linked = _linked(overlaps(_sets(table, own), _sets(table, others)), n[own], n[others], percent).any(0) if len(others) else np.empty(0, bool)
+    return pa.table({"leader": pa.array([leader] * len(others), pa.int64()), "doc_id": pa.array(ids[others], pa.int64()), "linked": pa.array(linked, pa.bool_())})
+
+
 def product(table: pa.Table, percent: int) -> pa.Table:
     """Links of one pair of blocks."""
-    ids, n, place = (np.asarray(table.column(c)) for c in ("doc_id", "n", "place"))
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shared")]
-    lower = np.flatnonzero(place == place.min())
-    upper = np.flatnonzero(place != place.min())
-    alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    ids, n, left = (np.asarray(table.column(c)) for c in ("doc_id", "n", "is_left"))
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
     edges: list[tuple[int, int]] = []
-    if alone or len(upper):
-        x, y = (lower, lower) if alone else (lower, upper)
-        counts = overlaps([sets[k] for k in x], None if alone else [sets[k] for k in y]).astype(np.int64)
-        linked = (counts > 0) & (counts * (100 + percent) >= percent * (n[x][:, None] + n[y][None, :]))
-        if alone:
-            np.fill_diagonal(linked, False)
-            edges = forest(linked)
-        else:
-            whole = np.zeros((len(x) + len(y),) * 2, bool)
-            whole[: len(x), len(x) :] = linked
-            whole[len(x) :, : len(x)] = linked.T
-            edges = forest(whole)
-            x = np.append(x, y)
-        edges = [(int(ids[x[u]]), int(ids[x[v]])) for u, v in edges]
+    if len(x) and len(y):
+        linked = _linked(overlaps(_sets(table, x), _sets(table, y)), n[x], n[y], percent) & (ids[x][:, None] != ids[y][None, :])
+        whole = np.zeros((len(x) + len(y),) * 2, bool)
+        whole[: len(x), len(x) :] = linked
+        whole[len(x) :, : len(x)] = linked.T
+        both = ids[np.append(x, y)]
+        edges = [(int(both[u]), int(both[v])) for u, v in forest(whole)]
     a, b = zip(*edges, strict=True) if edges else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _place(parts: str) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int")
+
+
+def _each(parts: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect all rows (doc_id, n, n_unique, first, shared) of a component."""
     postings = rows.select("doc_id", "n_unique", F.explode("first").alias("gram"))
     leaders = postings.groupBy("gram").agg(F.min(F.struct("n_unique", "doc_id"))["doc_id"].alias("leader"), F.count("*").alias("c")).where("c > 1").select("gram", "leader")
     members = postings.select("gram", "doc_id").join(leaders, "gram").select("leader", "doc_id").distinct()
-    cut = members.groupBy("leader").agg(F.count("*").alias("c")).where("c > 1").select("leader", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = members.join(cut, "leader").select("leader", "doc_id", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("place"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = placed.select("doc_id", "leader", F.least("place", "other").alias("i"), F.greatest("place", "other").alias("j"), "place")
-    whole = pairs.join(rows.select("doc_id", "n", "shared"), "doc_id")
-    return whole.groupBy("leader", "i", "j").applyInArrow(lambda table: product(table, percent), "a long, b long")
+    sets = rows.select("doc_id", "n", "shared")
+    blocks_of = lambda c: F.ceil(c / BLOCK_ROWS).cast("int")
+
+    # Each row against its leader: those that link are of one component, and no pair of them needs a look.
+    parts = members.groupBy("leader").agg(blocks_of(F.count("*")).alias("parts"))
+    leading = parts.select("leader", F.col("leader").alias("doc_id"), _each("parts").alias("part"))
+    following = members.where("doc_id <> leader").join(parts, "leader").select("leader", "doc_id", _place("parts").alias("part"))
+    seen = checkpointed(leading.unionByName(following).join(sets, "doc_id").groupBy("leader", "part").applyInArrow(lambda table: star(table, percent), "leader long, doc_id long, linked boolean"))
+
+    # The others against all of the group but the leader, block by block.
+    counts = seen.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("apart"), F.count("*").alias("c")).where("apart > 0 AND c > 1").select("leader", blocks_of(F.col("apart")).alias("lefts"), blocks_of(F.col("c")).alias("rights"))
+    placed = seen.join(counts, "leader")
+    left = placed.where("NOT linked").select("leader", "doc_id", _place("lefts").alias("i"), _each("rights").alias("j"), F.lit(True).alias("is_left"))
+    right = placed.select("leader", "doc_id", _each("lefts").alias("i"), _place("rights").alias("j"), F.lit(False).alias("is_left"))
+    found = left.unionByName(right).join(sets, "doc_id").groupBy("leader", "i", "j").applyInArrow(lambda table: product(table, percent), "a long, b long")
+    return found.unionByName(seen.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
 
 
 def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
