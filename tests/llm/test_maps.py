@@ -186,6 +186,16 @@ def test_quality_held_out(spark):
     assert kept[1][1] >= 0.995 * kept[1][0] and kept[0][1] <= 0.1 * kept[0][0]
 
 
+def test_quality_keeps_texts_with_copies(spark, frame, labels):
+    """Copies that no label covers don't speak against a text, and all of them are judged alike."""
+    kept = {r.doc_id: (r.kept, r.score) for r in judged(frame, labels).collect()}
+    assert kept[12][0] and {kept[k] for k in range(60, 80)} == {kept[12]}
+    clean = frame.where("doc_id BETWEEN 10 AND 39").select("doc_id", "text")
+    many = clean.unionByName(clean.where("doc_id = 35").crossJoin(spark.range(1000, 1300)).select(F.col("id").alias("doc_id"), "text"))
+    once, often = ({r.doc_id: (r.kept, r.score) for r in judged(df, labels).collect()} for df in (clean, many))
+    assert {k: v for k, v in often.items() if k < 1000} == once and {v for k, v in often.items() if k >= 1000} == {once[35]}
+
+
 # ---- licences
 
 
