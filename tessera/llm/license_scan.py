@@ -1,12 +1,13 @@
-"""License scans with a positional index of rare words.
+"""License scans with a positional index of licence words.
 
 The index holds, for each licence template, the postings (template, position)
-of its rarest words; how rare a word is comes from its document frequency over
-the whole corpus. A file's licence words are looked up from the highest IDF
-down; postings that agree on the position of a template relative to the file
-are intersected, and a template counts once a mandatory key phrase of it
-stands at that place. The score is the largest share of a template's words
-that stand in their places.
+of all its words; how rare a word is comes from its document frequency over
+the whole corpus. A mandatory key phrase is looked up in a file by the word of
+it with the highest IDF, if the file holds all its words, and verified at each
+place of that word. A template counts once one of its key phrases stands. Around it,
+postings of the template are intersected by their position relative to the
+file; the score is the largest share of a template's words that stand in their
+places with the key phrase among them.
 
 Base: the places where the phrases of ``BASE`` stand, whatever surrounds them.
 
@@ -52,10 +53,6 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ("mozilla public license",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 ]
-#: Words of each template that the index holds.
-RARE_WORDS = 6
-#: Postings that must agree on a place.
-AGREE = 2
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -81,18 +78,17 @@ def document_frequencies(docs: DataFrame) -> dict[bytes, int]:
     return {r["word"].encode(): r["n"] for r in map_rows(docs.select("text"), of_batch, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-class RareWordIndex:
+class LicenseIndex:
     def __init__(self, frequencies: dict[bytes, int]):
         total = max(frequencies.values(), default=0) + 1
         self.idf = {w: math.log(1 + total / (1 + frequencies.get(w, 0))) for w in vocabulary()}
         self.templates = [(label, license_words(t.encode()), [license_words(k.encode()) for k in keys]) for label, t, keys in TEMPLATES]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words, _) in enumerate(self.templates):
-            rare = sorted(set(words), key=lambda w: (-self.idf[w], w))[:RARE_WORDS]
+        self.postings: list[dict[bytes, list[int]]] = []
+        for _, words, _ in self.templates:
+            self.postings.append(defaultdict(list))
             for at, w in enumerate(words):
-                if w in rare:
-                    self.postings[w].append((k, at))
-        self.known = set(self.postings)
+                self.postings[-1][w].append(at)
+        self.known = {w for _, _, keys in self.templates for key in keys for w in key}
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
         """(labels, score) of a file."""
@@ -103,16 +99,21 @@ class RareWordIndex:
         for at, w in enumerate(words):
             if w in hits:
                 places[w].append(at)
-        votes = Counter((k, at - inside) for w in sorted(hits, key=lambda w: (-self.idf[w], w)) for k, inside in self.postings[w] for at in places[w])
         labels, best = set(), 0.0
-        for (k, start), n in votes.items():
-            label, template, keys = self.templates[k]
-            if n < AGREE:
-                continue
-            there = words[max(0, start) : start + len(template)]
-            if any(there[i : i + len(key)] == key for key in keys for i in range(len(there) - len(key) + 1)):
+        for (label, template, keys), postings in zip(self.templates, self.postings, strict=True):
+            starts = set()  # of the template in the file, with the key phrase inside
+            for key in keys:
+                if hits.issuperset(key):
+                    rarest = max(range(len(key)), key=lambda i: self.idf[key[i]])
+                    for at in places[key[rarest]]:
+                        first = at - rarest
+                        if first >= 0 and words[first : first + len(key)] == key:
+                            starts.update(range(first + len(key) - len(template), first + 1))
+            if starts:
                 labels.add(label)
-                best = max(best, sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template))
+                near = {at for start in starts for at in range(max(0, start), min(len(words), start + len(template)))}
+                votes = Counter(at - inside for at in near for inside in postings.get(words[at], ()))
+                best = max(best, max(votes[start] for start in starts) / len(template))
         return labels, best
 
 
@@ -129,11 +130,11 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     frequencies = document_frequencies(docs)
-    made: list[RareWordIndex] = []
+    made: list[LicenseIndex] = []
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
-            made.append(RareWordIndex(frequencies))
+            made.append(LicenseIndex(frequencies))
         out = []
         for text in text_bytes(batch.column("text")):
             words = license_words(text)

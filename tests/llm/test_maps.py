@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 import zlib
 from collections import defaultdict
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm import media
 from tessera.llm.bpe import Bpe, bpe_ids, bpe_round_trip
 from tessera.llm.chat_format import SQL, chat_format
-from tessera.llm.license_scan import license_scan
+from tessera.llm.license_scan import TEMPLATES, LicenseIndex, license_scan
 from tessera.llm.packing import best_fit, best_fit_packing, packed
 from tessera.llm.quality import BUCKETS, judged, multinomials
 
@@ -213,6 +214,30 @@ def test_license_templates(spark):
     assert got[1][0] == "bsd" and got[1][1] > 0.5 and got[2][0] == "mit" and got[3] == got[4] == ("", 0.0)
 
 
+def test_license_keys_alone(spark):
+    """A key phrase is found with nothing else of its template beside it, whatever words the corpus lacks."""
+    texts = [(k, f"see {key} here") for k, (_, _, keys) in enumerate(TEMPLATES) for key in keys]
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(TEMPLATES[k][0] in got[k][0] and got[k][1] > 0 for k, _ in texts)
+
+
+def test_license_score_equals_every_place():
+    rng, index = random.Random(5), LicenseIndex({})
+    for _ in range(60):
+        words = []
+        for _ in range(6):
+            _, template, keys = rng.choice(index.templates)
+            words += rng.choice([template, rng.choice(keys), template[: rng.randint(1, len(template))], [w for w in template if rng.random() < 0.8]])
+        labels, best = set(), 0.0
+        for label, template, keys in index.templates:
+            for start in range(-len(template), len(words)):
+                there = words[max(0, start) : max(0, start + len(template))]
+                if any(there[i : i + len(key)] == key for key in keys for i in range(len(there) - len(key) + 1)):
+                    labels.add(label)
+                    best = max(best, sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template))
+        assert index.scan(words) == (labels, best)
+
+
 def test_maps_of_empty_tables(empty, byte_path, word_path):
     for df in (media.texts_as_media(empty), bpe_round_trip(empty, byte_path), license_scan(empty), best_fit_packing(empty, word_path)):
         assert df.count() == 0
