@@ -96,10 +96,10 @@ class Run:
         return cls(upper << np.uint64(16) | tag.astype(np.uint64), ids[place])
 
 
-def chunked(docs: DataFrame, keep_rest: bool = False) -> tuple[DataFrame, int, int]:
-    """(documents with their chunk, chunks, buckets). keep_rest: other columns go along in the struct ``rest``."""
+def chunked(docs: DataFrame, keep_rest: bool = False, counts: tuple[int, int] | None = None) -> tuple[DataFrame, int, int]:
+    """(documents with their chunk, chunks, buckets). keep_rest: other columns go along in the struct ``rest``. counts: chunks and buckets, if known."""
     bounded_batches(docs.sparkSession)
-    chunks, buckets = sizes(docs)
+    chunks, buckets = counts or sizes(docs)
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest")] if keep_rest and len(docs.columns) > 2 else []
     return docs.select(document_chunk(F.col("doc_id"), F.col("text"), chunks).alias("chunk"), "doc_id", "text", *rest), chunks, buckets
 

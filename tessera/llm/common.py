@@ -134,10 +134,10 @@ def document_chunk(doc_id: Column, text: Column, chunks: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.when(doc_id.isNull(), text)), F.lit(chunks)).cast("int")
 
 
-def sizes(df: DataFrame, text: str = "text") -> tuple[int, int]:
-    """(chunks, buckets) for the texts of ``df``: they follow its bytes and the cluster's shuffle partitions."""
+def sizes(df: DataFrame, text: str = "text", spread: int = 2) -> tuple[int, int]:
+    """(chunks, buckets) for the texts of ``df``: they follow its bytes and the cluster's shuffle partitions. spread: chunks for each partition at least."""
     total = df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     conf = df.sparkSession.conf
     partitions = int(conf.get("spark.sql.shuffle.partitions"))
     chunk, bucket = (int(conf.get(f"spark.tessera.{name}", str(size))) for name, size in (("chunkBytes", CHUNK_BYTES), ("bucketBytes", BUCKET_BYTES)))
-    return max(2 * partitions, -(-total // chunk)), max(partitions, -(-total // bucket))
+    return max(spread * partitions, -(-total // chunk)), max(partitions, -(-total // bucket))

@@ -10,7 +10,7 @@ from tessera.llm.blocks import Run
 from tessera.llm.components import connected_components
 from tessera.llm.line_dedup import PerfectHash, line_dedup
 from tessera.llm.ngram_join import ngram_join, one_of_each, overlaps
-from tessera.llm.substring_dedup import compact, index_of, substring_dedup
+from tessera.llm.substring_dedup import batched_dedup, compact, index_of, substring_dedup
 from tessera.llm.suffix_dedup import anchors, cut, repeated_passages, suffix_dedup
 
 
@@ -97,6 +97,30 @@ def test_history(frame, docs, spark):
     assert got(again, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(r for r in brute.op3(docs) if r[0] >= 70)
 
 
+def test_history_of_other_sizes(frame, docs, tmp_path):
+    """Batches that chose other numbers of buckets still meet; another window is an error."""
+    low, mid, high = frame.where("doc_id < 45"), frame.where("doc_id >= 45 AND doc_id < 70"), frame.where("doc_id >= 70")
+    index_of(low, buckets=3).unionByName(index_of(mid, buckets=7)).write.parquet(str(tmp_path / "runs"))
+    stored = frame.sparkSession.read.parquet(str(tmp_path / "runs"))
+    want = sorted(r for r in brute.op3(docs) if r[0] >= 70)
+    for history in (stored, compact(stored)):
+        for buckets in (None, 5):
+            assert got(substring_dedup(high, history=history, buckets=buckets), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    with pytest.raises(ValueError):
+        substring_dedup(high, window=9, history=stored)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 4])
+def test_batches_equal_one(frame, docs, batches):
+    assert got(batched_dedup(frame, batches=batches), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op3(docs))
+
+
+def test_batches_of_few_ids(empty, no_ids):
+    assert batched_dedup(empty).count() == 0
+    assert sorted((r.doc_id is None, r.n_removed) for r in batched_dedup(no_ids).collect()) == [(False, 0), (False, 0), (True, 0), (True, 80), (True, 80)]
+    assert batched_dedup(no_ids.where("doc_id IS NULL")).count() == 3
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(1, 9))
 def test_runs_travel_whole(keys, buckets):
     values = np.array(keys, np.uint64)
