@@ -569,10 +569,17 @@ def chunk_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.syntax_chunks(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("filePath"), F.col("html").alias("text")))
 
 
+#: What can't stand as it is in a string of Python source, and how it is written: fixed values.
+_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\r", "\\r"), ("\0", "\\x00"))
+
+
 @query()
 def chunk_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python file for each document, cut at its definitions; rows only, as a parser decides."""
-    body = F.concat(F.lit("import os\n\n\nclass A"), "doc_id", F.lit(':\n    """'), F.substring(F.regexp_replace("text", r'["\\\\\n]', " "), 1, 200), F.lit('"""\n\n    def run(self):\n        return 1\n'))
+    """A Python file for each document, whose whole text is in a method, cut at its definitions; rows only, as a parser decides."""
+    text = F.coalesce("text", F.lit(""))
+    for plain, written in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    body = F.concat(F.lit("import os\n\n\nclass A"), "doc_id", F.lit(':\n    def run(self):\n        """'), text, F.lit('"""\n        return 1\n'))
     return chunking.syntax_chunks(table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), "doc_id", F.lit(".py")).alias("filePath"), body.alias("text")))
 
 

@@ -1,5 +1,6 @@
 """Every query with SQL against DuckDB on the same tables."""
 
+import ast
 from pathlib import Path
 
 import duckdb
@@ -36,6 +37,19 @@ def test_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_chunk_python_holds_whole_texts(spark, tmp_path):
+    """Every document's text comes back from its chunk; a class above the size limit gives way to its method."""
+    texts = {1: "short", 2: 'quotes """ and \\ back\\slashes\\', 3: "lines\n\r\n\rends\0 ünï 漢字 \x0c\u2028 \\n\"", 4: "word " * 9000 + "end", 5: "a line of text\n" * 4000 + "end", 6: ""}
+    spark.createDataFrame([*texts.items(), (7, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = catalog.chunk_python(spark, str(tmp_path)).collect()
+    assert {r.filePath: r.type for r in chunks} == {f"m{k}.py": "function_definition" if k in (4, 5) else "class_definition" for k in range(1, 8)}
+    assert len(chunks) == 7
+    for r in chunks:
+        head = "" if r.content.startswith("class") else "class A:\n    "
+        method = ast.parse(head + r.content.lstrip()).body[0].body[0]
+        assert method.body[0].value.value == (texts.get(int(r.filePath[1:-3])) or "")
+
+
 def test_batch_equals_single(spark):
     batch = {(r.query_id, r.rank): r.vec_id for r in catalog.knn_batch(spark, DATA).collect()}
     everything = catalog.vectors(spark, DATA)
