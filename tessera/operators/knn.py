@@ -10,6 +10,8 @@ double precision, in the order of the elements, so both ways give the same numbe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import distance, score
 
-#: Query vectors that one call sends to every task.
+#: Query vectors that are sent to every task at once.
 MOST_QUERIES = 20_000
 
 
@@ -46,17 +48,23 @@ def merge(parts: list[DataFrame], k: int, key: str = "id") -> DataFrame:
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vector: str = "vector", key: str = "id", query_key: str = "query_id", query_block: int = 1024) -> DataFrame:
     """(query_id, id, distance, score, rank) of the k nearest rows of each query.
 
-    queries: a stated, bounded set of at most ``MOST_QUERIES``, sent to every task; larger sets are asked in several calls.
+    queries: any number, none too; each part of ``MOST_QUERIES`` is sent to every task and read against all rows in turn.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; ask in parts")
-    held = [(r[0], r[1]) for r in queries.select(query_key, vector).toLocalIterator()]  # the stated query set
-    if not held:
-        raise ValueError("no queries")
+    asked = queries.select(query_key, vector).toLocalIterator()
+    found = []
+    while (held := [(r[0], r[1]) for r in islice(asked, MOST_QUERIES)]) or not found:
+        found.append(_near(rows, held, queries.schema[query_key].dataType.simpleString(), k, metric, vector, key, query_block))
+    near = reduce(DataFrame.unionByName, found)
+    exact = near.select("query_id", "id", distance(F.col("v"), F.col("query_vector"), metric).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return exact.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", score(F.col("distance")))
+
+
+def _near(rows: DataFrame, held: list[tuple], query_kind: str, k: int, metric: str, vector: str, key: str, query_block: int) -> DataFrame:
+    """The k and a few more nearest rows of each task for one part of the queries, with both vectors."""
     blocks = [([i for i, _ in held[a : a + query_block]], np.array([v for _, v in held[a : a + query_block]], np.float64)) for a in range(0, len(held), query_block)]
     shared = rows.sparkSession.sparkContext.broadcast(blocks)
     kind = rows.schema[key].dataType.simpleString()
-    query_kind = queries.schema[query_key].dataType.simpleString()
 
     def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -71,7 +79,4 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
                 near = np.argpartition(gap, width - 1, axis=1)[:, :width]
                 yield pd.DataFrame({"query_id": np.repeat(ids, width), "query_vector": np.repeat(q, width, axis=0).tolist(), "id": batch["id"].to_numpy()[near.ravel()], "v": [batch["v"].iloc[j] for j in near.ravel()]})
 
-    found = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(of_task, f"query_id {query_kind}, query_vector array<double>, id {kind}, v array<float>")
-    exact = found.select("query_id", "id", distance(F.col("v"), F.col("query_vector"), metric).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", score(F.col("distance")))
+    return rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(of_task, f"query_id {query_kind}, query_vector array<double>, id {kind}, v array<float>")

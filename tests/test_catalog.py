@@ -58,6 +58,17 @@ def test_batch_equals_single(spark):
     assert [batch[50, k + 1] for k in range(catalog.K)] == single
 
 
+def test_batch_in_parts(spark, monkeypatch):
+    """More queries than are sent at once, and none."""
+    everything = catalog.vectors(spark, DATA)
+    queries = everything.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    ask = lambda q: sorted(tuple(r) for r in catalog.knn.batch_top_k(everything, q, 5).collect())
+    whole = ask(queries)
+    monkeypatch.setattr(catalog.knn, "MOST_QUERIES", 4)
+    assert queries.count() > 8 and len(whole) == 5 * queries.count() and ask(queries) == whole
+    assert ask(queries.where("query_id < 0")) == []
+
+
 def plan(df):
     return df._jdf.queryExecution().toString()
 
