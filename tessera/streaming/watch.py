@@ -46,7 +46,8 @@ def watch(index: object, once: bool = False, folder: str | None = None) -> objec
 
     def batch(rows: DataFrame, _: int) -> None:
         ignored = ignore_rules(index.spark, root, index.config.ignore)
-        changed = sorted({r[0] for r in wanted(rows.select("filePath")).toLocalIterator() if not ignored(r[0])})
+        kinds = index.config.extensions
+        changed = sorted({r[0] for r in wanted(rows.select("filePath"), include=kinds.include, exclude=kinds.exclude).toLocalIterator() if not ignored(r[0])})
         if changed:
             index.build(BuildOptions(files=changed))
 

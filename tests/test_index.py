@@ -13,7 +13,7 @@ from tessera.index import DimensionError
 from tessera.operators.embedding import HashEmbedder, Resilient, embedded
 from tessera.sources.snapshots import Store
 from tessera.tools import ToolCore
-from tessera.types import BuildOptions, SearchOptions
+from tessera.types import BuildOptions, Extensions, SearchOptions
 
 CODE = "def {0}(value):\n    # {0} of values\n    total = value + 1\n    return total\n"
 
@@ -113,6 +113,22 @@ def test_watch_equals_build(spark, tree):
     idx.close()
 
 
+def test_watch_keeps_to_extensions(spark, tree):
+    """New files of included extensions are indexed, those of excluded ones never."""
+    (tree / "field.dat").write_text("first words of a field\n" * 3)
+    idx = index(spark, tree, extensions=Extensions((".dat",), (".md",)))
+    idx.watch(once=True).awaitTermination()
+    assert paths(idx) == ["alpha.py", "beta.py", "field.dat", "gamma.py", "pkg/__init__.py"]
+    idx.close()
+    (tree / "later.dat").write_text("words of a later field\n" * 3)
+    (tree / "sub" / "later.md").write_text("later\nnotes\n")
+    build = idx.build
+    idx.build = lambda options=None: build(options) if options is not None else None  # the stream alone has to find them
+    idx.watch(once=True).awaitTermination()
+    assert paths(idx) == ["alpha.py", "beta.py", "field.dat", "gamma.py", "later.dat", "pkg/__init__.py"]
+    idx.close()
+
+
 def test_exchange(spark, tree, tmp_path):
     idx = index(spark, tree)
     idx.build()
