@@ -4,11 +4,13 @@ Texts become token ids, end with an end token and, where longer than a
 sequence, are cut into pieces. Each piece goes to the open bin with the least
 free space that holds it; the open bins are a bitset keyed by free space, so the
 search is a shift and a lowest-bit test. At most ``OPEN_BINS`` are open at once; the
-fullest closes first. Groups of ``GROUP_TOKENS`` tokens are packed apart, largest
-pieces first, so that no task holds more than a group.
+fullest closes first. Groups of ``GROUP_TOKENS`` tokens are packed apart, so that no
+task holds more than a group. In a group, pieces arrive by doc_id and piece, and the
+packer looks ahead at ``LOOK_AHEAD`` of them, of which the largest goes first.
 
 Defined results: a null or empty text is the end token alone; rows of equal
-doc_id are packed each; only texts longer than a sequence are cut.
+doc_id are packed each, and so are those with a null doc_id, which come last; only
+texts longer than a sequence are cut.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, documents, map_rows
 
 SEQUENCE, END_ID = 4096, 1
-OPEN_BINS = 4096
+#: Bins that are open at once, and pieces that are looked ahead at.
+OPEN_BINS, LOOK_AHEAD = 256, 1024
 #: Tokens of a group, most and least, and rows of it at most.
 GROUP_TOKENS, LEAST_TOKENS, GROUP_ROWS = 8 << 20, 1 << 20, 200_000
 #: Stretches without blanks that a worker remembers the ids of, of so many characters at most; and how many are encoded at once.
@@ -152,6 +155,11 @@ def best_fit(lengths: list[int], sequence: int = SEQUENCE, open_bins: int = OPEN
     return bins, offsets
 
 
+def looked_ahead(lengths: np.ndarray, width: int | None = None) -> np.ndarray:
+    """The order in which pieces go: of each ``width`` in turn, the largest first."""
+    return np.lexsort((-lengths, np.arange(len(lengths)) // (width or LOOK_AHEAD)))
+
+
 def packed(rows: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS) -> DataFrame:
     """Pieces with their sequence_id and offset."""
     tokens, count = rows.agg(F.sum("length"), F.count("*")).first()
@@ -160,7 +168,9 @@ def packed(rows: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def of_group(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["group"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.drop_columns(["group"]).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "descending"), ("ids_crc32", "ascending")])
+        order = looked_ahead(np.asarray(table.column("length")))
+        table = table.take(pa.array(order))
         bins, offsets = best_fit(table.column("length").to_pylist(), sequence, open_bins)
         return table.append_column("sequence_id", pa.array(np.array(bins, np.int64) + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets, pa.int64()))
 

@@ -15,7 +15,7 @@ from tessera.llm import media
 from tessera.llm.bpe import Bpe, bpe_ids, bpe_round_trip
 from tessera.llm.chat_format import SQL, chat_format
 from tessera.llm.license_scan import TEMPLATES, LicenseIndex, license_scan
-from tessera.llm.packing import best_fit, best_fit_packing, packed
+from tessera.llm.packing import best_fit, best_fit_packing, looked_ahead, packed
 from tessera.llm.quality import BUCKETS, judged, multinomials
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -145,6 +145,46 @@ def test_best_fit_bounds(lengths, open_bins):
         fill[b] += n
 
 
+@given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 20))
+def test_best_fit_equals_a_search(lengths, open_bins):
+    """Against looking at every open bin: the fullest that holds the piece; with too many open, the fullest closes."""
+    opened, want, n_bins = [], [], 0  # [free, bin], the last one touched at the end
+    for length in lengths:
+        fits = [b for b in opened if b[0] >= length]
+        if fits:
+            least = min(b[0] for b in fits)
+            own = [b for b in fits if b[0] == least][-1]
+            opened.remove(own)
+        else:
+            if len(opened) >= open_bins:
+                least = min(b[0] for b in opened)
+                opened.remove([b for b in opened if b[0] == least][-1])
+            own, n_bins = [50, n_bins], n_bins + 1
+        want.append((own[1], 50 - own[0]))
+        own = [own[0] - length, own[1]]
+        if own[0]:
+            opened.append(own)
+    assert list(zip(*best_fit(lengths, 50, open_bins), strict=True)) == want
+
+
+@given(st.lists(st.integers(1, 9), max_size=40), st.integers(1, 12))
+def test_looking_ahead(lengths, width):
+    order = looked_ahead(np.array(lengths, np.int64), width)
+    want = [sorted(range(a, min(a + width, len(lengths))), key=lambda k: (-lengths[k], k)) for a in range(0, len(lengths), width)]
+    assert order.tolist() == [k for part in want for k in part]
+
+
+def test_the_bound_binds(spark, monkeypatch):
+    """More bins would be open than may be: some close early, and the waste stays small."""
+    from tessera.llm import packing
+
+    rows = [(k, 0, 0, 2049 + k % 1000, 0) for k in range(3000)] + [(5000 + k, 0, 0, 900, 0) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    monkeypatch.setattr(packing, "GROUP_ROWS", 10_000)
+    few, many = (packed(df, open_bins=n).select("sequence_id").distinct().count() for n in (64, 4096))
+    assert many <= few and many >= 3000
+
+
 # ---- quality
 
 
