@@ -59,6 +59,16 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def values(strings: pa.Array) -> list[bytes]:
+    """The bytes of strings without nulls; quicker than ``to_pylist`` for many short ones."""
+    large = strings.cast(pa.large_binary())
+    if not len(large):
+        return []
+    edges = np.frombuffer(large.buffers()[1], np.int64, len(large) + 1, 8 * large.offset).tolist()
+    raw = (large.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+    return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` for each bounded Arrow batch, with no shuffle."""
     bounded_batches(df.sparkSession)

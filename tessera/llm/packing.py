@@ -23,83 +23,109 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_rows
+from .bpe import byte_letters
+from .common import checkpointed, documents, map_rows, values
 
 SEQUENCE, END_ID = 4096, 1
 #: Bins that are open at once, and pieces that are looked ahead at.
 OPEN_BINS, LOOK_AHEAD = 256, 1024
 #: Tokens of a group, most and least, and rows of it at most.
 GROUP_TOKENS, LEAST_TOKENS, GROUP_ROWS = 8 << 20, 1 << 20, 200_000
-#: Stretches without blanks that a worker remembers the ids of, of so many characters at most; and how many are encoded at once.
-CACHED, CACHED_CHARS, ENCODED_AT_ONCE = 1 << 20, 64, 2048
+#: Lower-case pieces that a worker remembers the ids of, of so many characters at most; and how many are encoded at once.
+CACHED, CACHED_CHARS, ENCODED_AT_ONCE = 1 << 19, 64, 16384
 
-_STRETCH = re.compile(r"[^ \t\n\r]+").findall
 #: Characters that all versions of Unicode lower, normalise and class alike.
 _PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch
 #: The vocabulary's pattern: a fixed value.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
 
+#: Marks that mostly stand alone behind a word, and a word of letters of the plain characters.
+_STOPS, _WORD = ".,;:!?", r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+[.,;:!?]*$"
+
+
 class Tokens:
     """Ids of texts, as little-endian unsigned 32-bit values, by the ids of their stretches between blanks: this vocabulary drops white space and never joins across it.
 
-    A worker remembers stretches and the lower-case pieces that the vocabulary's pattern cuts them into. Pieces that are new are
-    encoded many at a time; the last token of each is one that ends a word. Stretches with other characters than Latin
-    ones, or that may hold a special token, are encoded as they are.
+    Arrow splits a batch, finds its distinct stretches and takes plain words with at most one mark behind them apart; other
+    stretches are cut by the vocabulary's pattern. A worker remembers the ids of a bounded number of lower-case pieces, and
+    encodes new ones many at a time by the vocabulary's merges alone; the last token of each is one that ends a word.
+    Stretches with other characters than Latin ones, or that may hold a special token, are encoded as they are.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.merges = Tokenizer(self.tokenizer.model)  # neither normalises nor cuts, but at blanks
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.stretches: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.stops = pa.array([*self.learnt([c.encode() for c in _STOPS]), b""], pa.large_binary())
 
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn_pieces(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), ENCODED_AT_ONCE):
-            part = pieces[a : a + ENCODED_AT_ONCE]
-            ids = self.encoded(" ".join(part))
-            raw, last = ids.tobytes(), np.flatnonzero(self.ends[ids]) * 4 + 4
-            self.pieces.update((p, raw[x:y]) for p, x, y in zip(part, [0, *last.tolist()], last.tolist(), strict=False))
-
-    def learn(self, stretches: set[str]) -> None:
-        plain = [s for s in stretches if _PLAIN(s) and "<|" not in s]
-        cut = [_PIECES(s.lower()) for s in plain]
-        new = set().union(*cut).difference(self.pieces)
-        if len(self.pieces) + len(new) > CACHED:
-            self.pieces.clear()
-            new = set().union(*cut)
-        self.learn_pieces(list(new))
-        self.stretches.update((s, self.pieces[c[0]] if len(c) == 1 else b"".join(map(self.pieces.__getitem__, c))) for s, c in zip(plain, cut, strict=True))
-        self.stretches.update((s, self.encoded(s).tobytes()) for s in stretches.difference(plain))
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text of a batch."""
-        cut = [_STRETCH(t) for t in texts]
-        known = self.stretches
-        new = set().union(*cut).difference(known)
+    def learnt(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct lower-case pieces."""
+        known = self.pieces
+        new = [p for p in pieces if p not in known]
         if len(known) + len(new) > CACHED:
             known.clear()
-            new = set().union(*cut)
-        self.learn(new)
-        for stretches in cut:
-            yield b"".join(map(known.__getitem__, stretches))
-        for s in new:
-            if len(s) > CACHED_CHARS:
-                del known[s]
+            new = pieces
+        for a in range(0, len(new), ENCODED_AT_ONCE):
+            part = new[a : a + ENCODED_AT_ONCE]
+            line = b" ".join(part).decode("latin-1").translate(self.letters)
+            ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            raw, last = ids.tobytes(), np.flatnonzero(self.ends[ids]) * 4 + 4
+            known.update((p, raw[x:y]) for p, x, y in zip(part, [0, *last.tolist()], last.tolist(), strict=False))
+        ids = list(map(known.__getitem__, pieces))
+        if len(known) > CACHED:
+            known.clear()
+        for p in new if known else ():
+            if len(p) > CACHED_CHARS:
+                del known[p]
+        return ids
+
+    def whole(self, stretch: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([stretch], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def others(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches that aren't plain words."""
+        cut = [[p.encode() for p in _PIECES(s.lower())] if _PLAIN(s) and "<|" not in s else None for s in stretches]
+        pieces = list({p for c in cut if c for p in c})
+        ids = dict(zip(pieces, self.learnt(pieces), strict=True))
+        return [(self.whole(s) if s else b"") if c is None else b"".join(map(ids.__getitem__, c)) for s, c in zip(stretches, cut, strict=True)]
+
+    def ids_of(self, stretches: pa.Array) -> pa.Array:
+        """The ids of each of a batch's distinct stretches."""
+        bare = pc.utf8_rtrim(stretches, characters=_STOPS)
+        marks = pc.subtract(pc.binary_length(stretches), pc.binary_length(bare))
+        plain = np.asarray(pc.and_(pc.match_substring_regex(stretches, _WORD), pc.less_equal(marks, 1)))
+        coded = pc.utf8_lower(bare).filter(pa.array(plain)).dictionary_encode()
+        words = pa.array(self.learnt(values(coded.dictionary)), pa.large_binary()).take(coded.indices)
+        behind = pc.index_in(pc.utf8_slice_codeunits(stretches.filter(pa.array(plain)), -1), pa.array(list(_STOPS)))
+        words = pc.binary_join_element_wise(words, self.stops.take(behind.fill_null(len(_STOPS))), pa.scalar(b"", pa.large_binary()))
+        others = pa.array(self.others(stretches.filter(pa.array(~plain)).to_pylist()), pa.large_binary())
+        place = np.where(plain, np.cumsum(plain) - 1, plain.sum() + np.cumsum(~plain) - 1)
+        return pa.concat_arrays([words, others]).take(pa.array(place))
+
+    def of(self, texts: pa.Array) -> Iterator[memoryview]:
+        """The ids of each text of a batch."""
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        flat = self.ids_of(coded.dictionary).take(coded.indices)
+        edges = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1)[np.append(0, np.cumsum(lists.value_lengths()))]
+        data = memoryview(flat.buffers()[2] or b"")
+        return (data[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
 @lru_cache(2)
@@ -113,11 +139,12 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end_id: int = E
     end = np.array([end_id], "<u4").tobytes()
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        texts = [text or "" for text in batch.column("text").to_pylist()]
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), loaded(path).of(texts), strict=True):
-            ids, width = memoryview(ids + end), 4 * sequence
-            out += [(doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut)) for k, a in enumerate(range(0, len(ids), width)) if (cut := ids[a : a + width])]
+        out, width = [], 4 * sequence
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), loaded(path).of(batch.column("text")), strict=True):
+            whole = len(ids) + 4
+            for k, a in enumerate(range(0, whole, width)):
+                crc, b = zlib.crc32(ids[a : a + width]), min(whole, a + width)
+                out.append((doc_id, k, a // 4, (b - a) // 4, crc if b < whole else zlib.crc32(end, crc)))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -6,8 +6,9 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tessera.llm import media
 from tessera.llm.bpe import Bpe, bpe_ids, bpe_round_trip
 from tessera.llm.chat_format import SQL, chat_format
 from tessera.llm.license_scan import TEMPLATES, LicenseIndex, license_scan
-from tessera.llm.packing import best_fit, best_fit_packing, looked_ahead, packed
+from tessera.llm.packing import Tokens, best_fit, best_fit_packing, looked_ahead, packed
 from tessera.llm.quality import BUCKETS, judged, multinomials
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -32,6 +33,10 @@ def word_path():
     return vocabularies.path("word_bpe_49k.json")
 
 
+#: Texts with every kind of white space, marks, letters beyond ASCII and special tokens.
+MIXED = st.lists(st.sampled_from([" ", " ", "\n", "  ", "\t", "\x0b", "\x0c", "\r\n", "\x1c", "\x85", "\u00a0", "\u2003", "the", "Word", "Ⱥ", "İ", "ſ", "é", "e\u0301", "ß", "漢", "'s", "'S", "it's", ",", ".", "...", "?!", "12", "-", "<|endoftext|>", "<|", "\0", "A", "K", "Å"]), max_size=12).map("".join)
+
+
 def packed_ids(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -124,6 +129,18 @@ def test_packing(frame, docs, word_path):
     assert len(bins) <= -(-sum(r.length for r in rows) // 4096) + 2
 
 
+def test_tokens_on_any_text(word_path):
+    library, own = tokenizers.Tokenizer.from_file(word_path), Tokens(word_path)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.one_of(MIXED, st.text(max_size=30)), max_size=8))
+    def equal(texts):
+        ids = own.of(pa.array([*texts, None], pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+
+    equal()
+
+
 def test_packing_in_groups_wastes_little(spark, monkeypatch):
     from tessera.llm import packing
 
