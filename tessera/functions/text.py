@@ -78,6 +78,11 @@ LANGUAGES = {
 MAX_TOKENS = 8192
 
 
+def utf8(content: Column) -> Column:
+    """Bytes as text; bytes that are no UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def short_hash(content: Column) -> Column:
     """The first 16 hex digits of SHA-256."""
     return F.substring(F.sha2(content, 256), 1, 16)
