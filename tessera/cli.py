@@ -15,7 +15,7 @@ from .config import TEMPLATE, load, places
 from .functions import secrets
 from .index import create_index
 from .operators import changes, stats
-from .sources.snapshots import Folder, Store, indexes
+from .sources.snapshots import Folder, Store, Writing, indexes, running
 from .tools import ToolCore, as_json, rendered
 from .types import BuildOptions, SearchOptions
 
@@ -43,10 +43,12 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(flag, action="store_true")
     p = add("status")
     p.add_argument("--changes", action="store_true")
+    p.add_argument("--processes", action="store_true")
     p.add_argument("--json", action="store_true")
     add("repair").add_argument("--dry", action="store_true")
     for name in ("serve", "mcp", "compact", "config", "init"):
         add(name)
+    add("completions").add_argument("shell", choices=["zsh"])
     add("migrate").add_argument("--dry", action="store_true")
     add("prune").add_argument("--force", action="store_true")
     p = add("export")
@@ -59,6 +61,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def completions() -> str:
+    """A zsh function that completes commands and their options, from the parser itself."""
+    commands = next(a for a in parser()._actions if isinstance(a, argparse._SubParsersAction)).choices
+    options = {name: [x for a in p._actions for x in a.option_strings if x.startswith("--")] for name, p in commands.items()}
+    cases = "\n".join(f"    {name}) compadd -- {' '.join(flags)} ;;" for name, flags in options.items())
+    return f"#compdef tessera\n_tessera() {{\n  if (( CURRENT == 2 )); then compadd -- {' '.join(commands)}; return; fi\n  case $words[2] in\n{cases}\n  esac\n}}\n_tessera \"$@\""
+
+
 def moves(spark: SparkSession) -> "object":
     """(source, target, outcome) of index folders whose name isn't that of their project."""
     rows = [(path.rsplit("/", 1)[-1], project.index_path(meta["root"]).rsplit("/", 1)[-1]) for path, meta in indexes(spark, project.state_folder())]
@@ -68,6 +78,9 @@ def moves(spark: SparkSession) -> "object":
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     o, cwd = parser().parse_args(args), os.getcwd()
+    if o.command == "completions":
+        print(completions())
+        return 0
     if o.command == "init":
         target = places(cwd)[0]
         if target.exists():
@@ -105,11 +118,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         status = index.status()
         if o.changes:
             status["changes"] = [r.asDict() for r in stats.change_summary(index.changes()).collect()]
+        if o.processes:
+            status["processes"] = [r.asDict() for r in running(spark, project.state_folder()).orderBy("pid").collect()]  # one row a live writer
         print(json.dumps(status, indent=2) if o.json else "\n".join(f"{k}: {v}" for k, v in status.items()))
     elif o.command == "repair":
         print(json.dumps(index.repair(o.dry).__dict__, indent=2))
     elif o.command == "compact":
-        index.store.compact()
+        with Writing(index.store):
+            index.store.compact()
     elif o.command == "prune":
         if not o.force and input(f"delete {index.store.folder.path}? [y/N] ").strip().lower() != "y":
             return 1
@@ -134,23 +150,42 @@ def serve_tools(core: ToolCore) -> None:
         {"name": "search", "description": core.description(), "inputSchema": {"type": "object", "properties": {"query": text, "limit": {"type": "integer"}, "filePrefix": text, "type": {"type": "array", "items": text}, "language": {"type": "array", "items": text}, "project": text}, "required": ["query"]}},
         {"name": "list_other_indexed_projects", "description": "Lists the other projects that have an index.", "inputSchema": {"type": "object", "properties": {}}},
     ]
-    for line in sys.stdin:
+    core.start()
+    try:
+        for line in sys.stdin:
+            if line.strip() and (answer := answered(core, specs, line)) is not None:
+                print(json.dumps(answer), flush=True)
+    finally:
+        core.dispose()
+
+
+def answered(core: ToolCore, specs: list[dict], line: str) -> dict | None:
+    """The answer to one request; None to a notification."""
+    try:
         ask = json.loads(line)
-        params = ask.get("params", {})
-        if ask.get("method") == "initialize":
-            answer = {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "tessera", "version": "1"}}
-        elif ask.get("method") == "tools/list":
-            answer = {"tools": specs}
-        elif ask.get("method") == "tools/call" and params.get("name") == "search":
-            a = params.get("arguments", {})
-            said, bad = core.search(a["query"], a.get("limit", 10), a.get("filePrefix"), a.get("type"), a.get("language"), a.get("project"))
-            answer = {"content": [{"type": "text", "text": said}], "isError": bad}
-        elif ask.get("method") == "tools/call":
-            answer = {"content": [{"type": "text", "text": core.projects()}]}
+    except ValueError:
+        return {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}}
+    method, params, result, error = ask.get("method"), ask.get("params") or {}, {}, None
+    if method == "initialize":
+        result = {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "tessera", "version": "1"}}
+    elif method == "tools/list":
+        result = {"tools": [s | ({"description": core.description()} if s["name"] == "search" else {}) for s in specs]}
+    elif method == "tools/call" and params.get("name") == "search":
+        a = params.get("arguments") or {}
+        if "query" not in a:
+            error = {"code": -32602, "message": "search needs a query"}
         else:
-            continue
-        if "id" in ask:
-            print(json.dumps({"jsonrpc": "2.0", "id": ask["id"], "result": answer}), flush=True)
+            said, bad = core.search(a["query"], a.get("limit", 10), a.get("filePrefix"), a.get("type"), a.get("language"), a.get("project"))
+            result = {"content": [{"type": "text", "text": said}], "isError": bad}
+    elif method == "tools/call" and params.get("name") == "list_other_indexed_projects":
+        result = {"content": [{"type": "text", "text": core.projects()}]}
+    elif method == "tools/call":
+        error = {"code": -32602, "message": f"unknown tool {params.get('name')}"}
+    elif method != "ping":
+        error = {"code": -32601, "message": f"unknown method {method}"}
+    if "id" not in ask:
+        return None
+    return {"jsonrpc": "2.0", "id": ask["id"]} | ({"error": error} if error else {"result": result})
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import project
 from .config import Config, load
-from .functions.text import below, model_family
+from .exchange import same_family
+from .functions.text import below
 from .operators import changes, stats
 from .operators.chunking import syntax_chunks
 from .operators.embedding import Embedder, embedder_for
@@ -18,7 +20,7 @@ from .plans.build import build
 from .plans.repair import repair
 from .plans.search import Target, search
 from .sources import files as source
-from .sources.snapshots import Store, indexes
+from .sources.snapshots import Store, Writing, indexes
 from .types import BuildOptions, BuildResult, RepairResult, SearchOptions
 
 
@@ -26,7 +28,30 @@ class DimensionError(ValueError):
     pass
 
 
+def within(seconds: float, what: Callable[[], object]) -> object:
+    """The result, or an error if it takes longer; the work itself then ends on its own."""
+    out: dict = {}
+
+    def run() -> None:
+        try:
+            out["value"] = what()
+        except Exception as e:  # noqa: BLE001  raised again where it is waited for
+            out["error"] = e
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if "error" in out:
+        raise out["error"]
+    if "value" not in out:
+        raise TimeoutError(f"no answer within {seconds:g} s")
+    return out["value"]
+
+
 class Index:
+    #: What status waits for an embedding, and for a search, at most.
+    STATUS_SECONDS = 3.0
+
     def __init__(self, spark: SparkSession, cwd: str, config: Config, embedder: Embedder, chunker: Callable[[DataFrame], DataFrame], log: Callable[[str], None]):
         self.spark, self.cwd, self.config, self.embedder, self.chunker, self.log = spark, cwd, config, embedder, chunker, log
         self.project = project.resolve(cwd)
@@ -37,7 +62,10 @@ class Index:
         stored = [r[0] for r in stats.branches(self.store.files(here.branch)).toLocalIterator()] if here.branch != project.DEFAULT_BRANCH else []
         near = [(b, n) for b in stored if b != here.branch and (n := project.commits_between(here.root, here.branch, b)) is not None]
         alive = project.branches(here.root) if here.branch != project.DEFAULT_BRANCH else None
-        return build(self.spark, here.root, self.store, self.embedder, here.branch, self.config, options, self.chunker, alive or None, near)
+        if options and options.dry:
+            return build(self.spark, here.root, self.store, self.embedder, here.branch, self.config, options, self.chunker, alive or None, near)
+        with Writing(self.store):
+            return build(self.spark, here.root, self.store, self.embedder, here.branch, self.config, options, self.chunker, alive or None, near)
 
     def targets(self, options: SearchOptions) -> list[Target]:
         """across, else project, else this one with the prefix of the folder searched from."""
@@ -57,16 +85,16 @@ class Index:
         meta = self.store.metadata()
         if meta.get("dimensions") and len(vector) != meta["dimensions"]:
             raise DimensionError(f"the query has {len(vector)} dimensions, the index {meta['dimensions']}")
-        if meta.get("model") and self._family(meta["model"]) != self._family(self.config.model):
+        if meta.get("model") and not same_family(self.spark, meta["model"], self.config.model):
             self.log(f"warning: the index was made with {meta['model']}, not {self.config.model}")
         negative = self.embedder.embed_query(options.negative) if options.negative else None
         return search(self.targets(options), vector, options, negative)
 
-    def _family(self, model: str) -> str:
-        return self.spark.range(1).select(model_family(F.lit(model))).first()[0]
-
     def repair(self, dry: bool = False) -> RepairResult:
-        return repair(self.spark, self.project.root, self.store, self.project.branch, self.config, dry, self.chunker)
+        if dry:
+            return repair(self.spark, self.project.root, self.store, self.project.branch, self.config, dry, self.chunker)
+        with Writing(self.store):
+            return repair(self.spark, self.project.root, self.store, self.project.branch, self.config, dry, self.chunker)
 
     def changes(self) -> DataFrame:
         """(filePath, kind) of the tree against this branch."""
@@ -79,10 +107,10 @@ class Index:
         out |= {"indexedAt": self.store.metadata().get("indexedAt"), "branches": sorted(r[0] for r in stats.branches(self.store.files(self.project.branch)).toLocalIterator())}
         began = time.time()
         try:
-            vector = self.embedder.embed_query("function")
+            vector = within(self.STATUS_SECONDS, lambda: self.embedder.embed_query("function"))
             out |= {"embedding_ok": True, "embedding_ms": round((time.time() - began) * 1000), "dimensions": len(vector)}
             began = time.time()
-            out["search_ok"] = not search([Target(self.store.chunks())], vector, SearchOptions(limit=1)).isEmpty()
+            out["search_ok"] = within(self.STATUS_SECONDS, lambda: not search([Target(self.store.chunks())], vector, SearchOptions(limit=1)).isEmpty())
             out["search_ms"] = round((time.time() - began) * 1000)
         except Exception as e:  # noqa: BLE001  status reports what fails
             out |= {"embedding_ok": out.get("embedding_ok", False), "search_ok": False, "error": str(e)}
@@ -102,5 +130,5 @@ class Index:
 
 def create_index(spark: SparkSession, cwd: str, config: Config | None = None, embedder: Embedder | None = None, chunker: Callable[[DataFrame], DataFrame] | None = None, log: Callable[[str], None] = print) -> Index:
     config = config or load(cwd)
-    embedder = embedder or embedder_for(config.model, dimensions=config.dimensions, query_prefix=config.query_prefix or "", document_prefix=config.document_prefix or "")
+    embedder = embedder or embedder_for(config.model, dimensions=config.dimensions, base_url=config.base_url, query_prefix=config.query_prefix or "", document_prefix=config.document_prefix or "")
     return Index(spark, cwd, config, embedder, chunker or syntax_chunks, log)

@@ -63,6 +63,12 @@ def delete_entries(manifest: DataFrame, branch: str, paths: DataFrame) -> DataFr
     return manifest.join(gone, ["branch", "filePath"], "left_anti").select("filePath", "fileHash", "branch")
 
 
+def manifest_change(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to add, keys that go) from one manifest to the other; both with branches (see ``Store.migrate``)."""
+    columns = ["branch", "filePath", "fileHash"]
+    return after.select(columns).join(before, columns, "left_anti"), before.select(columns).join(after, columns, "left_anti").select("branch", "filePath")
+
+
 def copy_branch(manifest: DataFrame, source: str, target: str) -> DataFrame:
     return upsert(manifest, manifest.where(F.col("branch") == source).withColumn("branch", F.lit(target)))
 

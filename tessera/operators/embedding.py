@@ -10,14 +10,19 @@ counts as failed. Every input row comes out, with a vector or an error.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 BATCH, PAUSE_S, MAX_FAILURES, MAX_RELOADS = 100, 0.2, 3, 3
@@ -29,6 +34,11 @@ class Embedder(Protocol):
     def embed_query(self, text: str) -> list[float]: ...
 
 
+@lru_cache(1 << 18)
+def _hash(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+
+
 class HashEmbedder:
     """Deterministic stand-in for a learned model: hashed word counts, normalised. Not semantic."""
 
@@ -36,9 +46,8 @@ class HashEmbedder:
         self.dimensions, self.query_prefix, self.document_prefix = dimensions, query_prefix, document_prefix
 
     def vector(self, text: str) -> list[float]:
-        out = np.zeros(self.dimensions)
-        for token in re.sub("[^a-z0-9]+", " ", text.lower()).split():
-            out[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dimensions] += 1
+        tokens = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        out = np.bincount(np.fromiter(map(_hash, tokens), np.int64, len(tokens)) % self.dimensions, minlength=self.dimensions).astype(float)
         return (out / (np.sqrt((out * out).sum()) or 1)).tolist()
 
     def embed(self, texts: list[str]) -> list[list[float]]:
@@ -48,7 +57,39 @@ class HashEmbedder:
         return self.vector(self.query_prefix + text)
 
 
-PROVIDERS: dict[str, Callable[..., Embedder]] = {"hash": lambda model, dimensions=None, **_: HashEmbedder(dimensions or int(re.sub(r"\D", "", model) or 64))}
+class HttpEmbedder:
+    """A model behind an HTTP service that takes {"model", "input"} at /embeddings and answers {"data": [{"index", "embedding"}]}, as most do."""
+
+    def __init__(self, model: str, base_url: str, key_name: str = "", query_prefix: str = "", document_prefix: str = "", timeout_s: float = 60.0):
+        self.model, self.base_url, self.key_name, self.timeout_s = model, base_url.rstrip("/"), key_name, timeout_s
+        self.query_prefix, self.document_prefix = query_prefix, document_prefix
+
+    def _ask(self, texts: list[str]) -> list[list[float]]:
+        key = os.environ.get(self.key_name) if self.key_name else None  # read where it runs: keys don't travel with tasks
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(f"{self.base_url}/embeddings", json.dumps({"model": self.model, "input": texts}).encode(), headers)
+        with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:
+            found = json.load(answer)["data"]
+        return [x["embedding"] for x in sorted(found, key=lambda x: x["index"])]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._ask([self.document_prefix + t for t in texts])
+
+    def embed_query(self, text: str) -> list[float]:
+        return self._ask([self.query_prefix + text])[0]
+
+
+def _http(default_url: str | None, key_name: str = "") -> Callable[..., Embedder]:
+    def make(model: str, base_url: str | None = None, query_prefix: str = "", document_prefix: str = "", **_: object) -> Embedder:
+        if not (base_url or default_url):
+            raise ValueError("this provider needs a baseURL")
+        return HttpEmbedder(model, base_url or default_url, key_name, query_prefix, document_prefix)
+
+    return make
+
+
+#: Providers by name; the URLs are the services' public defaults.
+PROVIDERS: dict[str, Callable[..., Embedder]] = {"openai": _http("https://api.openai.com/v1", "OPENAI_API_KEY"), "ollama": _http("http://localhost:11434/v1"), "lmstudio": _http("http://localhost:1234/v1"), "http": _http(None, "EMBEDDING_API_KEY"), "hash": lambda model, dimensions=None, query_prefix="", document_prefix="", **_: HashEmbedder(dimensions or int(re.sub(r"\D", "", model) or 64), query_prefix, document_prefix)}
 
 
 def embedder_for(model: str, **options: object) -> Embedder:
@@ -119,3 +160,19 @@ def embedded(chunks: DataFrame, embedder: Embedder, text: str = "embedText", dim
                 yield part.drop(columns=[text]).assign(vector=list(vectors), error=list(errors))
 
     return chunks.mapInPandas(of_task, schema)
+
+
+def batch_totals(rows: DataFrame, batch: int = BATCH, text: str = "embedText", order: str = "id") -> DataFrame:
+    """(batch, texts, tokens): what each batch of ``batch`` rows in the order of a key holds, by the estimate of four characters a token.
+
+    Rows are numbered within ranges of the key, so no task sees them all.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.text import token_estimate
+
+    ranged = rows.select(order, token_estimate(F.col(text)).alias("tokens")).repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    row = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    numbered = ranged.withColumn("row", row).join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part")  # one row a partition
+    return numbered.groupBy(F.floor((F.col("row") + F.col("before")) / batch).alias("batch")).agg(F.count("*").alias("texts"), F.sum("tokens").alias("tokens"))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, duration_ms, embed_text
+from ..functions.text import chunk_id, duration_ms, embed_text, utf8
 from ..operators import changes
 from ..operators.chunking import syntax_chunks, within_size
 from ..operators.embedding import Embedder, embedded
@@ -34,7 +34,9 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     ignore, include, exclude = (config.ignore, config.extensions.include, config.extensions.exclude) if config else ((), (), ())
     if options.reset and not options.dry:
         store.reset()
-    manifest, stored = store.files(branch), store.chunks()
+    if not options.dry:
+        store.migrate(branch)
+    manifest, stored = store.files(branch).cache(), store.chunks()
     if options.reset:
         manifest, stored = manifest.limit(0), stored.limit(0)
     if nearest and manifest.where(F.col("branch") == branch).isEmpty():
@@ -50,22 +52,26 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     disk = source.hashed(tree).cache()
     todo = changes.changed(disk, own, options.force).cache()
     full = options.files is None and not options.since
-    listed = disk.sparkSession.createDataFrame([(f,) for f in options.files or []], "filePath string")
+    listed = source.listed(spark, options.files)
     gone = (own.select("filePath") if full else own.select("filePath").join(listed, "filePath", "left_semi")).join(disk.select("filePath"), "filePath", "left_anti").cache()
+    held = [manifest, disk, todo, gone]
     if options.dry:
         out.planned = [r[0] for r in todo.select("filePath").unionByName(gone).orderBy("filePath").toLocalIterator()]
+        for df in held:
+            df.unpersist()
         return out
 
-    has_rows = stored.select("fileHash").distinct()
+    old = stored.select("id", "filePath", "fileHash").cache()
+    has_rows = old.select("fileHash").distinct()
     known, fresh = (todo.limit(0), todo) if options.force else (todo.join(has_rows, "fileHash", "left_semi"), todo.join(has_rows, "fileHash", "left_anti"))
     out.already_indexed, out.deleted = known.count(), gone.count()
     # A copied or renamed file: the rows of one file of equal content, under the new path.
-    model_rows = stored.join(stored.groupBy("fileHash").agg(F.min("filePath").alias("filePath")), ["fileHash", "filePath"], "left_semi").drop("filePath")
+    model_rows = stored.join(old.groupBy("fileHash").agg(F.min("filePath").alias("filePath")), ["fileHash", "filePath"], "left_semi").drop("filePath")
     moved = known.join(model_rows, "fileHash")
     moved = moved.withColumn("context", F.regexp_replace("context", r"^\[file: [^\n]*\]", F.concat(F.lit("[file: "), F.regexp_replace("filePath", r"([\\$])", r"\\$1"), F.lit("]")))).withColumn("id", chunk_id(F.col("filePath"), F.col("startLine") - 1, F.col("hash")))
 
     say("chunk", 0, 1)
-    texts = tree.join(fresh, "filePath").select("filePath", F.decode("content", "UTF-8").alias("text"))
+    texts = tree.join(fresh, "filePath").select("filePath", utf8(F.col("content")).alias("text"))
     chunks = chunker(texts).join(fresh, "filePath")
     sized = within_size(chunks, config.max_tokens if config else None)
     # Chunks of equal header and content as stored ones keep their vectors.
@@ -88,16 +94,15 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     replaced = todo.select("filePath").unionByName(gone)
     # Another branch may have the old content of a path: its rows stay while a manifest row of that path and hash does.
     others = changes.delete_entries(manifest, branch, replaced)
-    kept = stored.join(others.select("filePath", "fileHash").distinct(), ["filePath", "fileHash"], "left_semi")
     fresh_rows = rows.where("vector IS NOT NULL").select(stored.columns).unionByName(moved.select(stored.columns))
-    after = kept.join(fresh_rows.select("id", "fileHash").distinct(), ["id", "fileHash"], "left_anti").select(stored.columns).unionByName(fresh_rows)
+    superseded = old.join(others.select("filePath", "fileHash").distinct(), ["filePath", "fileHash"], "left_anti").select("id", "fileHash").unionByName(fresh_rows.select("id", "fileHash").join(old, ["id", "fileHash"], "left_semi"))
     entries = complete.select("filePath", "fileHash", F.lit(branch).alias("branch"))
     manifest_after = changes.upsert(others, entries)
     if alive_branches is not None:
         manifest_after = changes.sweep(manifest_after, spark.createDataFrame([(b,) for b in {*alive_branches, branch}], "branch string"))
-    store.commit(chunks=after, files=manifest_after)
+    store.change(chunks=(fresh_rows, superseded), files=changes.manifest_change(store.files(), manifest_after))
     first = store.chunks().select(F.size("vector")).limit(1).first()
     store.write_metadata(root, branch, getattr(config, "model", None), first[0] if first else None)
-    for df in (disk, todo, gone, made, rows):
+    for df in (*held, old, made, rows):
         df.unpersist()
     return out

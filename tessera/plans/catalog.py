@@ -13,13 +13,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import exchange
 from ..functions import secrets
 from ..functions import text as T
 from ..operators import changes, chunking, knn, stats
-from ..operators.embedding import HashEmbedder, embedded
+from ..operators.embedding import HashEmbedder, batch_totals, embedded
+from ..sources import files as tree
+from ..sources import snapshots
 from ..streaming.watch import debounced
 from ..types import SearchOptions
-from .search import Target, search
+from .search import Target, filtered, search, tagged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,6 +55,20 @@ def vector_of(rows: DataFrame, key: int) -> list[float]:
     return [float(x) for x in rows.where(F.col("id") == key).select("vector").first()[0]]
 
 
+def searchable(rows: DataFrame) -> DataFrame:
+    """Vectors as chunk rows of an index: the path is the id with the label for its extension, the file hash is the id."""
+    blank = F.lit("")
+    path = F.concat_ws("", F.col("id"), F.lit("."), "label")
+    return rows.select("id", "vector", path.alias("filePath"), F.lit(1).alias("startLine"), F.lit(1).alias("endLine"), F.col("label").cast("string").alias("type"), blank.alias("name"), blank.alias("content"), blank.alias("context"), F.col("id").cast("string").alias("fileHash"))
+
+
+def asked(spark: SparkSession, sf_dir: str, options: SearchOptions, negative: int | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """A search through the library, with the columns of ``ranked``."""
+    rows = vectors(spark, sf_dir)
+    found = search([Target(searchable(rows), manifest)], vector_of(rows, PROBE), options, None if negative is None else vector_of(rows, negative))
+    return found.select(F.substring_index("filePath", ".", 1).cast("long").alias("id"), F.col("type").cast("int").alias("label"), "score")
+
+
 def ranked(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), *more, (F.round("score", 6) + 0.0).alias("score"))
 
@@ -96,22 +113,19 @@ _NEG = f"(SELECT list_transform(range(1, len(a.embedding) + 1), lambda i: CAST(a
 
 @query(f"SELECT vec_id, {_SCORE} FROM (SELECT vec_id, {_L2} AS d FROM embeddings, {_NEG}) ORDER BY d, vec_id LIMIT 25")
 def knn_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    probe = [q - 0.5 * n for q, n in zip(vector_of(rows, PROBE), vector_of(rows, NEGATIVE), strict=True)]
-    return ranked(knn.top_k(rows, probe, 25))
+    return ranked(asked(spark, sf_dir, SearchOptions(25), NEGATIVE))
 
 
 @query(f"SELECT vec_id, label, {_SCORE} FROM ({_top(k=25)}) WHERE 1 - d >= -0.5")
 def knn_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    return ranked(knn.top_k(rows, vector_of(rows, PROBE), 25).where("score >= -0.5"), "label")
+    return ranked(asked(spark, sf_dir, SearchOptions(25, min_score=-0.5)), "label")
 
 
 @query(f"SELECT vec_id, label, {_SCORE} FROM ({_top('EXISTS (SELECT 1 FROM documents WHERE doc_id = vec_id AND doc_id % 2 = 0)')})")
 def knn_branch_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    branch = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
-    return ranked(knn.top_k(rows.join(branch, "id", "left_semi"), vector_of(rows, PROBE), K), "label")
+    even = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    manifest = searchable(vectors(spark, sf_dir)).join(even, "id", "left_semi").select("filePath", "fileHash")
+    return ranked(asked(spark, sf_dir, SearchOptions(K), manifest=manifest), "label")
 
 
 @query(f"SELECT vec_id, project, {_SCORE} FROM (SELECT * FROM (SELECT *, 'even' AS project FROM ({_top('label % 2 = 0')})) UNION ALL SELECT * FROM (SELECT *, 'odd' AS project FROM ({_top('label % 2 = 1')}))) ORDER BY d, vec_id LIMIT {K}")
@@ -131,8 +145,7 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT vec_id, label, {_SCORE} FROM ({_top(k=25)}) WHERE label IN (1, 2, 3)")
 def knn_postfilter_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    return ranked(knn.top_k(rows, vector_of(rows, PROBE), 25).where(F.col("label").isin(1, 2, 3)), "label")
+    return ranked(asked(spark, sf_dir, SearchOptions(25, language=["1", "2", "3"], compat=True)), "label")
 
 
 # ---- files, hashes, chunks ---------------------------------------------------------------------------------------
@@ -359,7 +372,7 @@ def build_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT filePath FROM {_FILES} WHERE starts_with(filePath, 'src1')")
 def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where(F.col("filePath").startswith("src1")).select("filePath")
+    return filtered(files(spark, sf_dir), SearchOptions(), "src1").select("filePath")
 
 
 @query(f"SELECT filePath FROM {_FILES} WHERE regexp_extract(filePath, '(\\.[^.]*)$', 1) IN ('.de', '.fr')")
@@ -369,9 +382,33 @@ def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_languages(files(spark, sf_dir).select("filePath"), ["de", ".fr"])
 
 
+@query(f"SELECT filePath, length(text) + 2 AS n, text || chr(65533) || '!' AS text FROM {_FILES}")
+def read_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents with a byte that is no UTF-8, read as a build reads them."""
+    content = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF21")))
+    text = T.utf8(content)
+    return files(spark, sf_dir).select("filePath", F.length(text).alias("n"), text.alias("text"))
+
+
+@query(f"SELECT CAST(floor(k / 100) AS BIGINT) AS batch, count(*) AS texts, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS k, ceil(length(content) / 4.0) AS tokens FROM (SELECT DISTINCT id, content FROM {_CHUNKS})) GROUP BY ALL")
+def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch_totals(chunks(spark, sf_dir).dropDuplicates(["id"]), 100, "content")
+
+
+@query(f"WITH old AS {_THEN}, new AS {_NOW} SELECT filePath, fileHash, 'main' AS branch, 'add' AS change FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.filePath = new.filePath AND old.fileHash = new.fileHash) UNION ALL SELECT filePath, NULL, 'main', 'go' FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE old.filePath = new.filePath AND old.fileHash = new.fileHash)")
+def manifest_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a commit writes of a manifest that becomes another: rows to add and keys that go."""
+    named = lambda df: df.select("filePath", "fileHash", F.lit("main").alias("branch"))
+    add, go = changes.manifest_change(named(then(spark, sf_dir)), named(now(spark, sf_dir)))
+    return add.select("filePath", "fileHash", "branch", F.lit("add").alias("change")).unionByName(go.select("filePath", F.lit(None).cast("string").alias("fileHash"), "branch", F.lit("go").alias("change")))
+
+
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'")
 def mtime_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).select("event_id")
+    """Events as files, by their time in UTC, within ten days of the 30th."""
+    since_epoch = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    listed = table(spark, sf_dir, "events").withColumn("modificationTime", F.timestamp_micros(since_epoch))
+    return tree.modified_since(listed, 1_706_572_800_000, 10 * 86_400_000).select("event_id")
 
 
 @query("SELECT page_id, slug || '-' || substr(sha256(url), 1, 8) AS slug FROM (SELECT page_id, url, regexp_replace(array_to_string(list_slice(p, greatest(len(p) - 1, 1), len(p)), '-'), '[^A-Za-z0-9_-]', '_', 'g') AS slug FROM (SELECT *, list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '/'), lambda x: x <> '') AS p FROM pages))")
@@ -435,14 +472,14 @@ def comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT filePath, fileHash FROM {_FILES} ORDER BY filePath LIMIT 50 OFFSET 100")
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of a scan in a total order."""
-    return files(spark, sf_dir).select("filePath", "fileHash").orderBy("filePath").offset(100).limit(50)
+    return snapshots.page(files(spark, sf_dir).select("filePath", "fileHash"), ["filePath"], 50, 100)
 
 
 @query(f"SELECT filePath, fileHash, CASE WHEN doc_id % 4 = 0 THEN 'main' ELSE lang END AS branch FROM {_FILES}")
 def null_branch_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest rows of before there were branches belong to the current one."""
     rows = files(spark, sf_dir).withColumn("branch", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
-    return rows.select("filePath", "fileHash", F.coalesce("branch", F.lit("main")).alias("branch"))
+    return snapshots.with_branch(rows, "main").select("filePath", "fileHash", "branch")
 
 
 @query(f"SELECT filePath, fileHash FROM {_BRANCHED} WHERE branch <> 'main' AND filePath IN (SELECT filePath FROM {_NOW})")
@@ -462,7 +499,7 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT '/srv/other/' || filePath AS filePath FROM {_FILES}")
 def project_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select(F.concat(F.lit("/srv/other/"), "filePath").alias("filePath"))
+    return tagged(files(spark, sf_dir), "/srv/other").select("filePath")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'anonymous_' || doc_id END AS name FROM documents")
@@ -493,9 +530,9 @@ def share_code_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH c AS (SELECT id, lang FROM {_CHUNKS}) SELECT id FROM c WHERE lang IN ('en', 'de') UNION SELECT id FROM c WHERE lang IN ('de', 'fr')")
 def import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imported chunks join the stored ones but for ids that are there."""
-    rows = chunks(spark, sf_dir)
-    stored, brought = rows.where("lang IN ('en', 'de')").select("id"), rows.where("lang IN ('de', 'fr')").select("id").distinct()
-    return stored.unionByName(brought.join(stored, "id", "left_anti"))
+    rows = chunks(spark, sf_dir).withColumn("fileHash", F.col("hash"))
+    stored, brought = rows.where("lang IN ('en', 'de')"), rows.where("lang IN ('de', 'fr')")
+    return stored.unionByName(exchange.new_rows(brought, stored)).select("id")
 
 
 # ---- text search -------------------------------------------------------------------------------------------------

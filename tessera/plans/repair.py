@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import utf8
 from ..operators import changes
 from ..operators.chunking import syntax_chunks, within_size
 from ..sources import files as source
@@ -22,7 +23,7 @@ def issues(chunks: DataFrame, manifest: DataFrame, tree: DataFrame, branch: str,
     old = changes.stale(manifest, disk, branch)
     settled = own.join(disk, ["filePath", "fileHash"], "left_semi")
     stored = chunks.join(settled.select("filePath", "fileHash"), ["filePath", "fileHash"], "left_semi")
-    texts = tree.join(settled.select("filePath"), "filePath", "left_semi").select("filePath", F.decode("content", "UTF-8").alias("text"))
+    texts = tree.join(settled.select("filePath"), "filePath", "left_semi").select("filePath", utf8(F.col("content")).alias("text"))
     wrong = changes.mismatched(stored, within_size(chunker(texts), max_tokens))
     tag = lambda df, issue: df.select("filePath", F.lit(issue).alias("issue"))
     return tag(gone, "orphaned").unionByName(tag(old, "stale")).unionByName(tag(wrong, "mismatch"))
@@ -38,8 +39,10 @@ def repair(spark: SparkSession, root: str, store: Store, branch: str = "_default
     removed = 0
     if not dry and any(listed.values()):
         others = changes.delete_entries(manifest, branch, found)
-        kept = chunks.join(others.select("filePath", "fileHash").distinct(), ["filePath", "fileHash"], "left_semi").select(chunks.columns)
-        removed = chunks.count() - kept.count()
-        store.commit(chunks=kept, files=others)
+        gone = chunks.join(others.select("filePath", "fileHash").distinct(), ["filePath", "fileHash"], "left_anti").select("id", "fileHash").cache()
+        removed = gone.count()
+        store.migrate(branch)
+        store.change(chunks=(None, gone), files=changes.manifest_change(store.files(), others))
+        gone.unpersist()
     found.unpersist()
     return RepairResult(listed["orphaned"], listed["stale"], listed["mismatch"], removed)

@@ -34,6 +34,11 @@ def in_languages(rows: DataFrame, languages: list[str]) -> DataFrame:
     return rows.where(after_last_dot(F.col("filePath")).isin(wanted)) if wanted else rows
 
 
+def tagged(rows: DataFrame, root: str) -> DataFrame:
+    """Paths of another project, led by its root."""
+    return rows.withColumn("filePath", F.concat(F.lit(root.rstrip("/") + "/"), F.col("filePath")))
+
+
 def search(targets: list[Target], query: list[float], options: SearchOptions, negative: list[float] | None = None) -> DataFrame:
     """Result columns and score, best first."""
     if negative is not None:
@@ -49,7 +54,7 @@ def search(targets: list[Target], query: list[float], options: SearchOptions, ne
         wide = [c for c in RESULT_COLUMNS if c not in ("filePath", "startLine")]
         best = knn.top_k(rows.select("id", "vector", *RESULT_COLUMNS), query, options.limit, options.metric, wide=wide)
         if target.root:
-            best = best.withColumn("filePath", F.concat(F.lit(target.root.rstrip("/") + "/"), F.col("filePath")))
+            best = tagged(best, target.root)
         parts.append(best.select("id", *RESULT_COLUMNS, "score"))
     out = knn.merge(parts, options.limit)
     if options.compat:

@@ -98,11 +98,16 @@ def not_ignored(files: DataFrame, rules: Nested) -> DataFrame:
     return files.join(files.select("filePath").mapInPandas(keep, "filePath string"), "filePath", "left_semi")
 
 
-def scan(spark: SparkSession, root: str, extra_ignore: Iterable[str] = (), include: Iterable[str] = (), exclude: Iterable[str] = (), files: list[str] | None = None) -> DataFrame:
+def listed(spark: SparkSession, files: list[str] | DataFrame | None) -> DataFrame:
+    """Paths that a caller names, as (filePath)."""
+    return files.select("filePath") if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files or []], "filePath string")
+
+
+def scan(spark: SparkSession, root: str, extra_ignore: Iterable[str] = (), include: Iterable[str] = (), exclude: Iterable[str] = (), files: list[str] | DataFrame | None = None) -> DataFrame:
     """Code files below a folder: by extension, then by ignore rules; or an explicit list."""
     tree = read_tree(spark, root)
     if files is not None:
-        return tree.join(spark.createDataFrame([(f,) for f in files], "filePath string").distinct(), "filePath", "left_semi")
+        return tree.join(listed(spark, files).distinct(), "filePath", "left_semi")
     return not_ignored(tree.where(extension(F.col("filePath")).isin(extensions(include, exclude))), ignore_rules(spark, root, extra_ignore))
 
 

@@ -1,19 +1,26 @@
 """Chunk and manifest tables as versioned Parquet snapshots.
 
 A write makes new version folders and then replaces the small pointer file
-CURRENT, which names the version of each table: readers see both tables of one
-commit, and a failed write leaves nothing visible. One writer at a time (see
-``lock``). Works on any file system that Hadoop opens.
+CURRENT, which names the versions of each table: readers see both tables of one
+commit, and a failed write leaves nothing visible. A table is a base and up to
+``MOST_DELTAS`` later versions, each of which adds rows and names keys of older rows
+that go; one more writes a new base. One writer at a time (see ``lock``). Works on
+any file system that Hadoop opens.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import socket
 import time
+import uuid
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..types import CHUNKS, MANIFEST
 
@@ -55,6 +62,25 @@ class Folder:
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(beside, self._at(name), options)
 
+    def create(self, name: str, text: str) -> bool:
+        """Writes a file that isn't there yet; False if it is."""
+        at = self._fs.makeQualified(self._at(name))
+        try:
+            if at.toUri().getScheme() == "file":
+                os.makedirs(os.path.dirname(at.toUri().getPath()), exist_ok=True)
+                handle = os.open(at.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+                with os.fdopen(handle, "w") as f:
+                    f.write(text)
+            else:
+                stream = self._fs.create(at, False)
+                stream.write(bytearray(text.encode()))
+                stream.close()
+        except (FileExistsError, Py4JJavaError):
+            if self.exists(name):
+                return False
+            raise
+        return True
+
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
 
@@ -63,48 +89,111 @@ class Folder:
             raise OSError(f"cannot move {name} to {to}")
 
 
+#: Later versions of a table that a read puts together, at most.
+MOST_DELTAS = 16
+
+
+def page(rows: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+    """One page of a scan in a total order."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def with_branch(manifest: DataFrame, default: str) -> DataFrame:
+    """Rows of before there were branches belong to the current one."""
+    branch = F.coalesce("branch", F.lit(default)) if "branch" in manifest.columns else F.lit(default)
+    return manifest.withColumn("branch", branch)
+
+
 class Store:
     """One index: ``chunks``, ``files``, the pointer and the metadata."""
 
     SCHEMAS = {"chunks": CHUNKS, "files": MANIFEST}
+    #: What names a row of a table that goes.
+    KEYS = {"chunks": ["id", "fileHash"], "files": ["branch", "filePath"]}
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.folder = spark, Folder(spark, path)
 
     def _pointer(self) -> dict:
-        return json.loads(self.folder.read("CURRENT") or "{}")
+        found = json.loads(self.folder.read("CURRENT") or "{}")
+        return {name: {"base": state, "deltas": [], "gone": []} if isinstance(state, int) else state for name, state in found.items()}
+
+    def _read(self, name: str, letter: str, versions: list[int]) -> DataFrame:
+        """The rows of some versions in one scan, with the version; of letter v whole rows, of letter g keys that go."""
+        empty = self.spark.createDataFrame([], self.SCHEMAS[name])
+        schema = (empty.select(self.KEYS[name]) if letter == "g" else empty).schema.add(letter, IntegerType())
+        top = f"{self.folder.path}/{name}"
+        return self.spark.read.option("basePath", top).schema(schema).parquet(*(f"{top}/{letter}={v}" for v in versions))
 
     def table(self, name: str) -> DataFrame:
-        version = self._pointer().get(name)
-        if version is None:
-            return self.spark.createDataFrame([], self.SCHEMAS[name])
-        return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.folder.path}/{name}/v={version}")
+        state, empty = self._pointer().get(name), self.spark.createDataFrame([], self.SCHEMAS[name])
+        if state is None:
+            return empty
+        rows = self._read(name, "v", [state["base"], *state["deltas"]])
+        if state["gone"]:
+            latest = self._read(name, "g", state["gone"]).groupBy(*(F.col(c).alias(f"_{c}") for c in self.KEYS[name])).agg(F.max("g").alias("g"))
+            match = reduce(lambda a, b: a & b, (rows[c] == latest[f"_{c}"] for c in self.KEYS[name]))
+            rows = rows.join(latest, match & (rows["v"] < latest["g"]), "left_anti")
+        return rows.select(empty.columns)
 
     def chunks(self) -> DataFrame:
         return self.table("chunks")
 
     def files(self, default_branch: str | None = None) -> DataFrame:
         found = self.table("files")
-        return found if default_branch is None else found.withColumn("branch", F.coalesce("branch", F.lit(default_branch)))
+        return found if default_branch is None else with_branch(found, default_branch)
 
     def exists(self) -> bool:
         return bool(self._pointer())
 
+    def _write(self, name: str, df: DataFrame, version: int, gone: bool = False) -> None:
+        writer = df.hint("rebalance", "branch") if name == "files" and not gone else df  # a large branch is split, small ones share a task
+        writer = writer.write.mode("overwrite")
+        (writer.partitionBy("branch") if name == "files" and not gone else writer).parquet(f"{self.folder.path}/{name}/{'g' if gone else 'v'}={version}")
+
+    def _next(self, pointer: dict) -> int:
+        return max((v for s in pointer.values() for v in (s["base"], *s["deltas"])), default=0) + 1
+
     def commit(self, **tables: DataFrame) -> None:
-        """New versions of the tables given; the others stay."""
+        """New whole tables; those not given stay."""
         pointer = self._pointer()
-        version = max(pointer.values(), default=0) + 1
+        version = self._next(pointer)
         for name, df in tables.items():
-            columns = self.spark.createDataFrame([], self.SCHEMAS[name]).columns
-            out = df.select(columns)
-            out = out.repartition("branch") if name == "files" else out
-            writer = out.write.mode("overwrite")
-            (writer.partitionBy("branch") if name == "files" else writer).parquet(f"{self.folder.path}/{name}/v={version}")
-            pointer[name] = version
+            self._write(name, df.select(self.spark.createDataFrame([], self.SCHEMAS[name]).columns), version)
+            pointer[name] = {"base": version, "deltas": [], "gone": []}
+        self.folder.write("CURRENT", json.dumps(pointer))
+
+    def change(self, **tables: tuple[DataFrame | None, DataFrame | None]) -> None:
+        """For each table, rows to add and keys of stored rows that go, in one commit. Stored rows are not written again, but once in ``MOST_DELTAS`` times."""
+        pointer, whole = self._pointer(), {}
+        version = self._next(pointer)
+        for name, (added, removed) in tables.items():
+            keys, columns = self.KEYS[name], self.spark.createDataFrame([], self.SCHEMAS[name]).columns
+            state = pointer.get(name)
+            if state is None or len(state["deltas"]) >= MOST_DELTAS:
+                left = self.table(name) if removed is None else self.table(name).join(removed.select(keys).distinct(), keys, "left_anti")
+                whole[name] = left.select(columns) if added is None else left.select(columns).unionByName(added.select(columns))
+                self._write(name, whole[name], version)
+                pointer[name] = {"base": version, "deltas": [], "gone": []}
+                continue
+            self._write(name, (self.spark.createDataFrame([], self.SCHEMAS[name]) if added is None else added).select(columns), version)
+            state["deltas"].append(version)
+            if removed is not None:
+                self._write(name, removed.select(keys).distinct(), version, True)
+                state["gone"].append(version)
         self.folder.write("CURRENT", json.dumps(pointer))
 
+    def migrate(self, branch: str) -> None:
+        """Writes a manifest of before there were branches with the current one."""
+        if not self.table("files").where("branch IS NULL").isEmpty():
+            self.commit(files=self.files(branch))
+
     def append(self, chunks: DataFrame) -> None:
-        self.commit(chunks=self.chunks().unionByName(chunks.select(self.chunks().columns)))
+        self.change(chunks=(chunks, None))
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Chunks in the order of their keys."""
+        return page(self.chunks(), self.KEYS["chunks"], limit, offset)
 
     def reset(self) -> None:
         """Empty tables; the model's baseline goes too."""
@@ -113,18 +202,19 @@ class Store:
         self.folder.delete("meta.json")
 
     def compact(self, keep: int = 1, rows_per_file: int = 1_000_000) -> None:
-        """Rewrites the chunks into few files and drops versions beyond the last ``keep``."""
+        """Rewrites both tables, the chunks into few files, and drops versions beyond the last ``keep``."""
         chunks = self.chunks()
-        self.commit(chunks=chunks.repartition(max(1, -(-chunks.count() // rows_per_file))))
+        self.commit(chunks=chunks.repartition(max(1, -(-chunks.count() // rows_per_file))), files=self.files())
         self.vacuum(keep)
 
     def vacuum(self, keep: int = 1) -> None:
         for name in self.SCHEMAS:
-            current = self._pointer().get(name)
-            versions = sorted((int(v[2:]) for v in self.folder.names(name) if v.startswith("v=")), reverse=True)
-            for v in versions[keep:]:
-                if v != current:
-                    self.folder.delete(f"{name}/v={v}")
+            state = self._pointer().get(name, {"base": 0, "deltas": [], "gone": []})
+            live = {state["base"], *state["deltas"]}
+            versions = sorted({int(v[2:]) for v in self.folder.names(name) if v[:2] in ("v=", "g=")} - live, reverse=True)
+            for v in versions[keep - 1 :]:
+                self.folder.delete(f"{name}/v={v}")
+                self.folder.delete(f"{name}/g={v}")
 
     def metadata(self) -> dict:
         return json.loads(self.folder.read("meta.json") or "{}")
@@ -138,25 +228,74 @@ class Store:
         return new
 
     def lock(self) -> bool:
-        """True if this process now is the writer. A lock whose process is gone is taken over."""
-        for _ in range(2):
-            owner = self.folder.read("writer.lock")
-            if owner is None or not _alive(int(owner)):
-                self.folder.write("writer.lock", str(os.getpid()))
-            return int(self.folder.read("writer.lock") or 0) == os.getpid()
+        """True if this process is the writer now. The file is made only where none is; that of a process that is gone is moved away, which one taker can do."""
+        mine = json.dumps({"host": socket.gethostname(), "pid": os.getpid()})
+        for _ in range(3):
+            if self.folder.create("writer.lock", mine):
+                return True
+            held = self.folder.read("writer.lock")
+            if held == mine:
+                return True
+            if held is None:
+                continue
+            if _alive(held):
+                return False
+            aside = f"stale-{uuid.uuid4().hex}.lock"
+            try:
+                self.folder.move("writer.lock", aside)
+            except (OSError, Py4JJavaError):
+                continue
+            if (taken := self.folder.read(aside)) != held and taken is not None:  # another taker's new lock: it goes back
+                self.folder.create("writer.lock", taken)
+            self.folder.delete(aside)
         return False
 
+    def holds_lock(self) -> bool:
+        return _owner(self.folder.read("writer.lock")) == (socket.gethostname(), os.getpid())
+
     def unlock(self) -> None:
-        if self.folder.read("writer.lock") == str(os.getpid()):
+        if self.holds_lock():
             self.folder.delete("writer.lock")
 
     def is_locked(self) -> bool:
         owner = self.folder.read("writer.lock")
-        return owner is not None and _alive(int(owner))
+        return owner is not None and _alive(owner)
+
+
+class LockedError(RuntimeError):
+    pass
+
+
+class Writing:
+    """Holds an index's lock while it is changed, unless this process has it already."""
+
+    def __init__(self, store: Store):
+        self.store, self.had = store, store.holds_lock()
+
+    def __enter__(self) -> None:
+        if not self.store.lock():
+            raise LockedError("another process writes this index")
+
+    def __exit__(self, *_: object) -> None:
+        if not self.had:
+            self.store.unlock()
+
+
+def _owner(text: str | None) -> tuple[str, int] | None:
+    """(host, pid); locks of older versions hold a pid alone."""
+    try:
+        found = json.loads(text or "null")
+    except ValueError:
+        return None
+    if isinstance(found, int):
+        return socket.gethostname(), found
+    return (found["host"], found["pid"]) if found else None
 
 
-def _alive(pid: int) -> bool:
-    return os.path.exists(f"/proc/{pid}")
+def _alive(text: str) -> bool:
+    """A lock of another host counts as alive: nothing here can tell."""
+    owner = _owner(text)
+    return owner is not None and (owner[0] != socket.gethostname() or os.path.exists(f"/proc/{owner[1]}"))
 
 
 def indexes(spark: SparkSession, base: str) -> list[tuple[str, dict]]:
@@ -172,9 +311,9 @@ def running(spark: SparkSession, base: str) -> DataFrame:
 
     rows = []
     for path, meta in indexes(spark, base):
-        owner = Folder(spark, path).read("writer.lock")
-        if owner and _alive(int(owner)):
-            with open(f"/proc/{owner}/comm") as name, open(f"/proc/{owner}/cmdline") as command:
-                rows.append((int(owner), name.read().strip(), command.read().replace("\0", " ").strip(), meta.get("root"), meta.get("branch")))
+        owner = _owner(Folder(spark, path).read("writer.lock"))
+        if owner and owner[0] == socket.gethostname() and os.path.exists(f"/proc/{owner[1]}"):
+            with open(f"/proc/{owner[1]}/comm") as name, open(f"/proc/{owner[1]}/cmdline") as command:
+                rows.append((owner[1], name.read().strip(), command.read().replace("\0", " ").strip(), meta.get("root"), meta.get("branch")))
     df = spark.createDataFrame(rows, "pid long, process string, command string, root string, branch string").dropDuplicates(["pid"])
     return df.select("pid", process_kind(F.col("process"), F.col("command")).alias("kind"), "root", "branch")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import extension
-from ..sources.files import ignore_rules
+from ..operators.changes import working_tree
+from ..sources.files import scan
 from ..sources.ignore import DEFAULT_IGNORE, Matcher, extensions
+from ..sources.snapshots import Folder, LockedError
 from ..types import BuildOptions
 
 DEBOUNCE = "2 seconds"
+LISTING = "filePath string, fileHash string"
 
 
 def wanted(events: DataFrame, path: str = "filePath", extra_ignore: list[str] | None = None, include: tuple = (), exclude: tuple = ()) -> DataFrame:
@@ -30,29 +36,66 @@ def debounced(events: DataFrame, key: str, ts: str = "ts", gap: str = DEBOUNCE,
     return rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def watch(index: object, once: bool = False, folder: str | None = None) -> object:
-    """Builds the index again, file by file, as files change. once: what there is now, then ends.
+class Watcher:
+    """Compares listings of the tree: what changed since the last build is built once two polls in a row agree, so a burst of changes counts once.
+
+    A listing is a table (path, time and length of each file that the rules let through) in ``folder``, and the last one that
+    was built outlives the process; only whether listings differ comes to the driver.
+    """
 
-    Micro-batches run one after the other, so events that come during a build wait for the next. The
-    first batch builds everything, which also finds files that went meanwhile.
+    def __init__(self, index: object, folder: str):
+        self.index, self.files = index, Folder(index.spark, folder)
+        state = json.loads(self.files.read("STATE") or "{}")
+        self.settled: str | None = state.get("settled")
+        self.last: str | None = None
+        self.count = state.get("count", 0)
+
+    def _read(self, name: str | None) -> DataFrame:
+        spark = self.index.spark
+        return spark.createDataFrame([], LISTING) if name is None else spark.read.schema(LISTING).parquet(f"{self.files.path}/{name}")
+
+    def _listed(self) -> str:
+        kinds, self.count = self.index.config.extensions, self.count + 1
+        tree = scan(self.index.spark, self.index.project.root, self.index.config.ignore, kinds.include, kinds.exclude)
+        name = f"listing-{self.count}"
+        tree.select("filePath", F.concat_ws(":", F.unix_micros("modificationTime"), "length").alias("fileHash")).write.mode("overwrite").parquet(f"{self.files.path}/{name}")
+        return name
+
+    def settle(self) -> None:
+        """The first time: what is there now counts as built, as a whole build follows."""
+        if self.settled is None:
+            self.settled = self.last = self._listed()
+            self.files.write("STATE", json.dumps({"settled": self.settled, "count": self.count}))
+
+    def poll(self, wait: bool = True) -> bool:
+        """Builds what changed if it did and the tree is at rest (or ``wait`` is false). True if it built."""
+        held, now = {self.last, self.settled}, self._listed()
+        moving = wait and not working_tree(self._read(now), self._read(self.last)).isEmpty()
+        changed = working_tree(self._read(now), self._read(self.settled))
+        built = not moving and not changed.isEmpty()
+        if built:
+            self.index.build(BuildOptions(files=changed.select("filePath")))
+            self.settled = now
+            self.files.write("STATE", json.dumps({"settled": now, "count": self.count}))
+        self.last = now
+        for name in held - {self.last, self.settled, None}:
+            self.files.delete(name)
+        return built
+
+
+def watch(index: object, once: bool = False, folder: str | None = None) -> StreamingQuery:
+    """Builds the index again, file by file, as files change, come and go. once: what there is now, then ends.
+
+    A clock of micro-batches drives the polls, so they run one after the other and changes during a build wait for the
+    next one. The first build is whole. The lock is held until the index is closed.
     """
     if not index.store.lock():
-        raise RuntimeError("another process writes this index")
+        raise LockedError("another process writes this index")
+    watcher = Watcher(index, folder or f"{index.store.folder.path}/watch")
+    watcher.settle()
     index.build()
-    root = index.project.root
-    stream = index.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
-    paths = stream.select(F.substring(F.regexp_replace("path", r"^[a-z]+:/*", "/"), len(base) + 2, 1 << 30).alias("filePath"), "modificationTime")
-
-    def batch(rows: DataFrame, _: int) -> None:
-        ignored = ignore_rules(index.spark, root, index.config.ignore)
-        kinds = index.config.extensions
-        changed = sorted({r[0] for r in wanted(rows.select("filePath"), include=kinds.include, exclude=kinds.exclude).toLocalIterator() if not ignored(r[0])})
-        if changed:
-            index.build(BuildOptions(files=changed))
-
-    state = folder or f"{index.store.folder.path}/watch"
-    writer = paths.writeStream.foreachBatch(batch).option("checkpointLocation", state)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
-
-
+    if once:
+        watcher.poll(wait=False)
+    clock = index.spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    writer = clock.writeStream.foreachBatch(lambda _, number: None if once else watcher.poll())
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()

@@ -72,7 +72,7 @@ class ToolCore:
             self.start()
             return f"Error: {e}", True
         self._set("ok")
-        self._stop.set()
+        self._stop.set()  # healthy: no poll until the next error
         return "\n\n---\n\n".join(r[0] for r in rows) or "No results found.", False
 
     def projects(self) -> str:
@@ -80,6 +80,9 @@ class ToolCore:
         return "Indexed projects:\n" + "\n".join(found) if found else "No other indexed projects found."
 
     def dispose(self) -> None:
+        """Ends the poll, which may be in the middle of a check, and frees the index."""
         self._stop.set()
         self.listeners.clear()
+        if self._thread and self._thread is not threading.current_thread():
+            self._thread.join(4 * self.index.STATUS_SECONDS + 30)
         self.index.close()

@@ -38,7 +38,7 @@ class BuildOptions:
     since: str | None = None
     force: bool = False
     dry: bool = False
-    files: list[str] | None = None
+    files: object = None  # paths, as a list or a DataFrame with the column filePath
     on_progress: object = None
 
 

@@ -1,23 +1,36 @@
 """Build, search, repair, watch and exchange on a small tree."""
 
+import json
 import random
+import socket
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import create_index
+from tessera.cli import answered, completions
 from tessera.config import Config, parse
 from tessera.exchange import IncompatibleError, export, import_
 from tessera.functions import secrets
-from tessera.index import DimensionError
-from tessera.operators.embedding import HashEmbedder, Resilient, embedded
-from tessera.sources.snapshots import Store
+from tessera.index import DimensionError, Index, within
+from tessera.operators.embedding import HashEmbedder, Resilient, embedded, embedder_for
+from tessera.sources import snapshots
+from tessera.sources.snapshots import LockedError, Store
+from tessera.streaming.watch import Watcher
 from tessera.tools import ToolCore
 from tessera.types import BuildOptions, Extensions, SearchOptions
 
 CODE = "def {0}(value):\n    # {0} of values\n    total = value + 1\n    return total\n"
 
 
+@pytest.fixture(autouse=True)
+def patient(monkeypatch):
+    monkeypatch.setattr(Index, "STATUS_SECONDS", 60.0)
+
+
 @pytest.fixture
 def tree(tmp_path, monkeypatch):
     monkeypatch.setenv("TESSERA_STATE", str(tmp_path / "state"))
@@ -129,6 +142,156 @@ def test_watch_keeps_to_extensions(spark, tree):
     idx.close()
 
 
+def wait_for(what, seconds=300):
+    end = time.time() + seconds
+    while not what():
+        assert time.time() < end, "waited in vain"
+        time.sleep(0.5)
+
+
+def test_watch_sees_edits_deletions_and_new_names(spark, tree):
+    idx = index(spark, tree)
+    running = idx.watch()
+    try:
+        assert paths(idx) == ["alpha.py", "beta.py", "gamma.py", "pkg/__init__.py", "sub/notes.md"]
+        (tree / "alpha.py").write_text(CODE.format("edited"))
+        (tree / "beta.py").unlink()
+        (tree / "gamma.py").rename(tree / "moved.py")
+        (tree / "fresh.py").write_text(CODE.format("fresh"))
+        (tree / "sub" / "skip.py").write_text(CODE.format("ignored"))
+        wait_for(lambda: running.exception() is not None or paths(idx) == ["alpha.py", "fresh.py", "moved.py", "pkg/__init__.py", "sub/notes.md"])
+        assert running.exception() is None
+        wait_for(lambda: idx.store.chunks().where("filePath = 'alpha.py' AND content LIKE '%edited%'").count() == 1)
+    finally:
+        running.stop()
+        idx.close()
+    incremental = contents(idx)
+    idx.build(BuildOptions(reset=True))
+    assert contents(idx) == incremental
+
+
+def test_a_burst_is_built_once(spark, tree):
+    """While polls differ nothing is built; when two agree, all of it is."""
+    idx = index(spark, tree)
+    watcher = Watcher(idx, f"{idx.store.folder.path}/watch")
+    assert not watcher.poll() and watcher.poll() and not watcher.poll()
+    for k in range(2):
+        (tree / f"burst{k}.py").write_text(CODE.format(f"burst{k}"))
+        assert not watcher.poll()
+    assert watcher.poll() and {"burst0.py", "burst1.py"} <= set(paths(idx)) and not watcher.poll()
+    assert Watcher(idx, watcher.files.path).settled == watcher.settled
+
+
+def test_broken_files_are_read(spark, tree):
+    (tree / "latin.py").write_bytes("# caf\xe9\ndef latin(value):\n    total = value + 1\n    return total\n".encode("latin-1"))
+    (tree / "two.yaml").write_text("first: one value of many words\n---\nsecond: another value of many words\n")
+    (tree / "template.yaml").write_text("{{ if x }}\nname: *missing\n{{ end }}\n")
+    (tree / "old.py").write_bytes(b"def old_mac(value):\r    total = value + 1\r    return total + value + value\r")
+    (tree / "cut.json").write_text('{"a": [1, 2')
+    idx = index(spark, tree)
+    assert idx.build().failed == 0
+    assert {"latin.py", "two.yaml", "template.yaml", "old.py", "cut.json"} <= set(paths(idx))
+    assert "caf\ufffd" in idx.store.chunks().where("filePath = 'latin.py'").first()["context"]
+    report = idx.repair(dry=True)
+    assert (report.orphaned, report.stale, report.chunk_mismatch) == ([], [], [])
+
+
+def test_deltas_equal_whole_tables(spark, tree, monkeypatch):
+    """Builds add versions; reads, compaction and old pointers agree."""
+    monkeypatch.setattr(snapshots, "MOST_DELTAS", 3)
+    idx = index(spark, tree)
+    for k in range(6):
+        (tree / "alpha.py").write_text(CODE.format(f"turn{k}"))
+        idx.build()
+        assert idx.store.chunks().where("filePath = 'alpha.py'").select("content").collect()[0][0].startswith(f"def turn{k}")
+        assert idx.store.chunks().count() == 5 and idx.store.files().count() == 5
+    assert len(idx.store._pointer()["chunks"]["deltas"]) < 4
+    before = contents(idx)
+    assert sorted(r.id for k in range(0, 5, 2) for r in idx.store.page(2, k).collect()) == sorted(r[0] for r in before)
+    idx.store.compact()
+    assert contents(idx) == before and idx.store._pointer()["chunks"]["deltas"] == []
+    pointer = idx.store._pointer()
+    idx.store.folder.write("CURRENT", json.dumps({name: state["base"] for name, state in pointer.items()}))
+    assert contents(idx) == before
+
+
+def test_manifests_of_before_branches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "old"))
+    store.commit(files=spark.createDataFrame([("a", "h", None), ("b", "h", "main")], "filePath string, fileHash string, branch string"))
+    store.migrate("work")
+    assert sorted(map(tuple, store.files().select("filePath", "branch").collect())) == [("a", "work"), ("b", "main")]
+
+
+def test_locks(spark, tree, tmp_path):
+    idx = index(spark, tree)
+    store = Store(spark, str(tmp_path / "locked"))
+    assert store.lock() and store.lock() and store.is_locked()
+    store.unlock()
+    assert not store.is_locked()
+    idx.store.folder.write("writer.lock", json.dumps({"host": "elsewhere", "pid": 1}))
+    with pytest.raises(LockedError):
+        idx.build()
+    assert idx.build(BuildOptions(dry=True)).planned
+    idx.store.folder.write("writer.lock", json.dumps({"host": socket.gethostname(), "pid": 2**22 + 5}))
+    assert idx.build().succeeded == 5 and not idx.store.is_locked()
+    taken = [Store(spark, str(tmp_path / "race")).folder.create("writer.lock", str(k)) for k in range(4)]
+    assert taken == [True, False, False, False]
+
+
+def test_timeouts():
+    assert within(5, lambda: 3) == 3
+    with pytest.raises(TimeoutError):
+        within(0.05, lambda: time.sleep(1))
+    with pytest.raises(KeyError):
+        within(5, lambda: {}["x"])
+
+
+class Service(BaseHTTPRequestHandler):
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        data = [{"index": k, "embedding": [float(len(t)), 1.0]} for k, t in enumerate(asked["input"])]
+        body = json.dumps({"data": data[::-1], "model": asked["model"]}).encode()
+        self.send_response(200 if self.path == "/v1/embeddings" else 404)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_embedding_service(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        model = embedder_for("http:any", base_url=f"http://127.0.0.1:{server.server_port}/v1", document_prefix="d:")
+        assert model.embed_query("abc") == [3.0, 1.0] and model.embed(["a", "bcd"]) == [[3.0, 1.0], [5.0, 1.0]]
+        rows = embedded(spark.createDataFrame([(k, "x" * k) for k in range(1, 8)], "k int, embedText string"), model).collect()
+        assert all(r.vector == [r.k + 2.0, 1.0] for r in rows)
+        wrong = embedder_for("http:any", base_url=f"http://127.0.0.1:{server.server_port}/v2")
+        assert Resilient(wrong).batch(["a"])[0][0] is None
+    finally:
+        server.shutdown()
+    with pytest.raises(ValueError):
+        embedder_for("http:any")
+
+
+def test_tool_server(spark, tree, capsys):
+    idx = index(spark, tree)
+    idx.build()
+    core, specs = ToolCore(idx), [{"name": "search"}]
+    ask = lambda method, **more: answered(core, specs, json.dumps({"jsonrpc": "2.0", "id": 1, "method": method} | more))
+    assert ask("nonsense")["error"]["code"] == -32601 and ask("ping")["result"] == {}
+    assert ask("tools/call", params={"name": "other"})["error"]["code"] == -32602
+    assert answered(core, specs, "{")["error"]["code"] == -32700
+    assert answered(core, specs, json.dumps({"method": "notifications/initialized"})) is None
+    said = ask("tools/call", params={"name": "search", "arguments": {"query": "zebra", "limit": 1}})["result"]
+    assert not said["isError"] and "sub/notes.md" in said["content"][0]["text"]
+    core.start()
+    core.dispose()
+    assert not core._thread.is_alive()
+    assert "search) compadd" in completions()
+
+
 def test_exchange(spark, tree, tmp_path):
     idx = index(spark, tree)
     idx.build()
@@ -146,6 +309,11 @@ def test_exchange(spark, tree, tmp_path):
         import_(spark, str(tmp_path / "out"), wrong, code)
     other.compact()
     assert other.chunks().count() == 5
+    said = []
+    foreign = Store(spark, str(tmp_path / "foreign"))
+    foreign.write_metadata("/", "b", "other:model", 32)
+    import_(spark, str(tmp_path / "out"), foreign, code, log=said.append)
+    assert len(said) == 1 and "other:model" in said[0]
 
 
 def test_tools_and_dimensions(spark, tree):
