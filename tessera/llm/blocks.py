@@ -75,25 +75,26 @@ class Run:
         return np.searchsorted(self.keys, keys)
 
     def pack(self, part: slice) -> bytes:
-        """The upper 48 bits as differences, the lower 16 as a tag, and each id as a place in the list of ids."""
+        """The upper 48 bits as differences, the lower 16 as a tag, and each id as a place in the list of ids, if there is more than one."""
         keys, (ids, place) = self.keys[part], np.unique(self.ids[part], return_inverse=True)
         upper = keys >> np.uint64(16)
         steps = np.diff(upper)
         small = not len(steps) or int(steps.max()) < 1 << 32
         few = len(ids) <= 1 << 16
         head = np.array([len(keys), len(ids), small, few, upper[0]], np.uint64)
+        place = place[:0] if len(ids) == 1 else place
         return b"".join(x.tobytes() for x in (head, ids, steps.astype(np.uint32 if small else np.uint64), keys.astype(np.uint16), place.astype(np.uint16 if few else np.uint32)))
 
     @classmethod
     def unpack(cls, blob: bytes) -> "Run":
         n, m, small, few, first = (int(x) for x in np.frombuffer(blob, np.uint64, 5))
         at, parts = 40, []
-        for kind, size in ((np.int64, m), (np.uint32 if small else np.uint64, n - 1), (np.uint16, n), (np.uint16 if few else np.uint32, n)):
+        for kind, size in ((np.int64, m), (np.uint32 if small else np.uint64, n - 1), (np.uint16, n), (np.uint16 if few else np.uint32, n if m > 1 else 0)):
             parts.append(np.frombuffer(blob, kind, size, at))
             at += np.dtype(kind).itemsize * size
         ids, steps, tag, place = parts
         upper = np.cumsum(np.append(np.uint64(first), steps.astype(np.uint64)), dtype=np.uint64)
-        return cls(upper << np.uint64(16) | tag.astype(np.uint64), ids[place])
+        return cls(upper << np.uint64(16) | tag.astype(np.uint64), ids[place] if m > 1 else np.repeat(ids, n))
 
 
 def chunked(docs: DataFrame, keep_rest: bool = False, counts: tuple[int, int] | None = None) -> tuple[DataFrame, int, int]:

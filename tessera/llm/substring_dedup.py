@@ -92,11 +92,16 @@ def compact(index: DataFrame) -> DataFrame:
     return index.limit(0) if window is None else _compacted(recut(index, buckets, window), window, buckets)
 
 
-def _compacted(runs: DataFrame, window: int, buckets: int) -> DataFrame:
+def _compacted(runs: DataFrame, window: int, buckets: int, older: bool = False) -> DataFrame:
+    """older: for batches of larger ids only, so that no id need be kept: each counts as the smallest number."""
 
     def of_bucket(key: tuple, table: pa.Table) -> pa.Table:
         parts = [Run.unpack(x.as_py()) for x in table.column("run")]
-        whole = Run.merged(np.concatenate([r.keys for r in parts]), np.concatenate([r.ids for r in parts]))
+        if older:
+            keys = np.unique(np.concatenate([r.keys for r in parts]))
+            whole = Run(keys, np.full(len(keys), np.iinfo(np.int64).min))
+        else:
+            whole = Run.merged(np.concatenate([r.keys for r in parts]), np.concatenate([r.ids for r in parts]))
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([-1], pa.int32()), "run": pa.array([whole.pack(slice(None))], pa.binary())})
 
     return _stamped(runs.groupBy("bucket").applyInArrow(of_bucket, blocks.RUNS), window, buckets)
@@ -130,7 +135,7 @@ def batched_dedup(docs: DataFrame, window: int = 13, batches: int = BATCHES, tex
         runs = _runs(rows, window, buckets)
         runs = runs if history is None else runs.unionByName(history.select("bucket", "chunk", "run"))
         out.append(_left(rows, runs, window, texts_out))
-        history = _compacted(runs, window, buckets)
+        history = _compacted(runs, window, buckets, older=True)
     return functools.reduce(DataFrame.unionByName, out)
 
 

@@ -136,6 +136,12 @@ def test_perfect_hash(keys):
     assert sorted(PerfectHash(values)(values).tolist()) == list(range(len(values)))
 
 
+def test_one_id_travels_once():
+    run = Run(np.arange(5, dtype=np.uint64) << np.uint64(20), np.full(5, -(2**63)))
+    back = Run.unpack(run.pack(slice(None)))
+    assert back.ids.tolist() == run.ids.tolist() and back.keys.tolist() == run.keys.tolist()
+
+
 @given(st.lists(st.integers(0, 5), max_size=60), st.integers(1, 12))
 def test_anchors(values, spread):
     v = np.array(values, np.uint64)
