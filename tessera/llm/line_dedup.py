@@ -2,10 +2,12 @@
 
 A line's key is the line stripped of ASCII white space, A-Z in lower case. Per
 shard (a range of 64-bit key hashes), a minimal perfect hash over the distinct
-keys indexes three compact arrays: a 16-bit fingerprint, a saturating count of
+keys indexes three compact arrays: a 32-bit fingerprint, a saturating count of
 the runs that hold the key, and the smallest doc_id. The documents' sorted key
 runs are routed to their shards and probe the arrays there; one byte a key
-comes back. No line is joined and no shard is broadcast.
+comes back. No line is joined and no shard is broadcast. The hash gives a foreign
+key the index of another one, which the fingerprint tells apart; the query's own
+runs hold no foreign key, as a shard is built from all keys of its range.
 
 A key of at least ``min_chars`` code points that a document with a smaller
 doc_id has loses all its lines. Defined results: a null or empty text is one
@@ -69,16 +71,16 @@ class Shard:
         distinct = np.unique(flat)
         self.place = PerfectHash(distinct)
         at = self.place(flat)
-        self.fingerprint = np.zeros(len(distinct), np.uint16)
-        self.fingerprint[at] = flat.astype(np.uint16)
+        self.fingerprint = np.zeros(len(distinct), np.uint32)
+        self.fingerprint[at] = flat.astype(np.uint32)
         self.count = np.minimum(np.bincount(at, minlength=len(distinct)), 255).astype(np.uint8)
         self.least = np.full(len(distinct), np.iinfo(np.int64).max)
         np.minimum.at(self.least, at, ids)
 
     def probe(self, run: Run) -> np.ndarray:
-        """1 for each key of the run that a smaller doc_id holds."""
+        """1 for each key of the run that a smaller doc_id holds; 0 for foreign keys."""
         at = np.minimum(self.place(run.keys), len(self.count) - 1)
-        return ((self.count[at] > 1) & (self.fingerprint[at] == run.keys.astype(np.uint16)) & (self.least[at] < run.ids)).astype(np.uint8)
+        return ((self.fingerprint[at] == run.keys.astype(np.uint32)) & (self.least[at] < run.ids)).astype(np.uint8)
 
 
 def probe_all(runs: list[Run]) -> list[bytes]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm import blocks
 from tessera.llm.blocks import Run
 from tessera.llm.components import connected_components
-from tessera.llm.line_dedup import PerfectHash, line_dedup
+from tessera.llm.line_dedup import PerfectHash, Shard, line_dedup
 from tessera.llm.ngram_join import ngram_join, one_of_each, overlaps
 from tessera.llm.substring_dedup import batched_dedup, compact, index_of, substring_dedup
 from tessera.llm.suffix_dedup import anchors, cut, repeated_passages, suffix_dedup
@@ -136,6 +136,14 @@ def test_perfect_hash(keys):
     assert sorted(PerfectHash(values)(values).tolist()) == list(range(len(values)))
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=200))
+def test_shards_reject_foreign_keys(keys, others):
+    own, asked = np.array(sorted(keys), np.uint64), np.array(sorted(keys | others), np.uint64)
+    got = Shard([Run(own, np.full(len(own), 5))]).probe(Run(asked, np.full(len(asked), 7)))
+    known = {k & 0xFFFFFFFF for k in keys}
+    assert all(g == (k in keys) for k, g in zip(asked.tolist(), got.tolist(), strict=True) if k in keys or k & 0xFFFFFFFF not in known)
+
+
 def test_one_id_travels_once():
     run = Run(np.arange(5, dtype=np.uint64) << np.uint64(20), np.full(5, -(2**63)))
     back = Run.unpack(run.pack(slice(None)))
