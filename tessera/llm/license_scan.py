@@ -11,7 +11,8 @@ places with the key phrase among them.
 
 Base: the places where the phrases of ``BASE`` stand, whatever surrounds them.
 
-Defined results: a null or empty text has no words, no labels ("") and score 0.
+Defined results: a null or empty text has no words, no labels ("") and score 0; a
+null doc_id stays null, and every row is scanned for itself.
 """
 
 from __future__ import annotations
@@ -67,10 +68,10 @@ def vocabulary() -> list[bytes]:
 
 
 def document_frequencies(docs: DataFrame) -> dict[bytes, int]:
-    """In how many texts each licence word stands, over all texts. The vocabulary bounds the result."""
+    """In how many texts each licence word stands, over all texts, and under "" how many texts there are. The vocabulary bounds the result."""
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, counts = set(vocabulary()), Counter()
+        known, counts = set(vocabulary()), Counter({b"": batch.num_rows})
         for text in text_bytes(batch.column("text")):
             counts.update(known.intersection(license_words(text)))
         return pa.record_batch({"word": pa.array([w.decode() for w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -80,8 +81,8 @@ def document_frequencies(docs: DataFrame) -> dict[bytes, int]:
 
 class LicenseIndex:
     def __init__(self, frequencies: dict[bytes, int]):
-        total = max(frequencies.values(), default=0) + 1
-        self.idf = {w: math.log(1 + total / (1 + frequencies.get(w, 0))) for w in vocabulary()}
+        total = frequencies.get(b"", 0)
+        self.idf = {w: math.log(1 + (1 + total) / (1 + frequencies.get(w, 0))) for w in vocabulary()}
         self.templates = [(label, license_words(t.encode()), [license_words(k.encode()) for k in keys]) for label, t, keys in TEMPLATES]
         self.postings: list[dict[bytes, list[int]]] = []
         for _, words, _ in self.templates:
@@ -121,9 +122,10 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(start, label) of each place where the words of a phrase stand consecutively."""
     line, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in BASE.items():
-        at = line.find(b" " + phrase + b" ")
+        at, counted, words_before = line.find(b" " + phrase + b" "), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
+            words_before, counted = words_before + line.count(b" ", counted, at), at
+            out.append((words_before, label))
             at = line.find(b" " + phrase + b" ", at + 1)
     return out
 
