@@ -6,7 +6,7 @@ number. Rows that repeat are rows of one document when their ids are equal.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,19 +38,26 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine only where all of Spark runs in this process, as in tests."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tessera-shared-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder that spark.checkpoint.dir names, which outlives executors."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-shared-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{_shared(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
