@@ -81,6 +81,80 @@ def test_sniffing_corrects_and_carves(spark):
     assert rows[6, 0][:2] == ("audio/wav", False) and rows[6, 1][0] == "image/png"
 
 
+def box(name, body=b""):
+    return struct.pack(">I4s", 8 + len(body), name) + body
+
+
+def more_media():
+    """One small file of each of the other formats, with its type."""
+    import gzip
+    import io
+    import zipfile
+
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("a.txt", "text")
+        z.writestr("b.txt", "more")
+    riff = lambda kind, body: b"RIFF" + struct.pack("<I", 4 + len(body)) + kind + body
+    chunk = lambda name, body: name + struct.pack("<I", len(body)) + body
+    ebml = b"\x42\x82\x84webm"
+    tags = [(256, 3, 1, 1), (257, 3, 1, 1), (273, 4, 1, 8), (279, 4, 1, 4)]
+    tiff = b"II*\0" + struct.pack("<I", 12) + b"abcd" + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    frame = b"\xff\xfb\x90\x00" + b"\0" * 413
+    pdf = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF\nmore\nstartxref\n30\n%%EOF"
+    return [
+        ("image/webp", riff(b"WEBP", chunk(b"VP8L", b"\x2f\0\0\0"))),
+        ("video/x-msvideo", riff(b"AVI ", chunk(b"LIST", b"hdrlxxxx"))),
+        ("video/mp4", box(b"ftyp", b"isom\0\0\0\1") + box(b"moov", box(b"mvhd")) + box(b"mdat", b"film")),
+        ("audio/mp4", box(b"ftyp", b"M4A \0\0\0\0") + box(b"mdat", b"song")),
+        ("video/webm", b"\x1aE\xdf\xa3" + bytes([0x80 | len(ebml)]) + ebml + b"\x18\x53\x80\x67\x84abcd"),
+        ("image/tiff", tiff),
+        ("audio/mpeg", frame * 3),
+        ("audio/mpeg", b"ID3\3\0\0\0\0\0\x05hello" + frame * 4),
+        ("application/pdf", pdf),
+        ("application/zip", archive.getvalue()),
+        ("application/gzip", gzip.compress(b"hello" * 9)),
+        ("image/png", png()),
+        ("image/gif", GIF),
+    ]
+
+
+@pytest.mark.parametrize("kind, raw", more_media())
+def test_every_format(kind, raw):
+    assert media.sniff(raw)[0] == kind
+    assert media.sniff(b"~" + raw + b"~~~")[1][0] == (kind, 1, 1 + len(raw))
+    assert kind not in (media.sniff(raw[:-4])[0], *(x[0] for x in media.sniff(b"~" + raw[:-4])[1])) or kind in ("audio/mpeg", "application/pdf", "video/mp4")
+
+
+@given(st.lists(st.one_of(st.sampled_from([m for m in media.MAGIC] + [b"%%EOF", b"startxref", b"PK\x05\x06", b"1.4"]), st.binary(max_size=20)), max_size=20).map(b"".join))
+def test_sniffing_any_bytes(raw):
+    kind, inside = media.sniff(raw)
+    edges = [0, *(x for _, a, b in inside for x in (a, b)), len(raw)]
+    assert edges == sorted(edges) and isinstance(kind, str)
+
+
+def test_sniffing_takes_linear_time():
+    """Many magic bytes without ends, and an archive of many files: as long as 16 times the bytes of a sixteenth."""
+    import io
+    import time
+    import zipfile
+
+    def archive(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k in range(n):
+                z.writestr(f"{k}.txt", "x")
+        return out.getvalue()
+
+    for small, large in ((b"%PDF-1.4 " * 4000, b"%PDF-1.4 " * 64000), (archive(200), archive(3200))):
+        took = []
+        for raw in (small, large):
+            began = time.process_time()
+            media.sniff(raw)
+            took.append(time.process_time() - began)
+        assert took[1] < 60 * max(took[0], 0.005)
+
+
 # ---- BPE
 
 
