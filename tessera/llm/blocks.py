@@ -9,10 +9,17 @@ neither the keys nor any link between documents travel back.
 
 A key that a third of all documents hold counts once for each chunk: the run is
 the pre-aggregation. The texts are shuffled once; the later steps reuse it.
+
+Chunks and buckets both grow with the input, and so the blocks would grow with its
+square. Where they would be more than ``spark.tessera.mostBlocks``, runs are cut into
+coarse buckets first, the runs of as many chunks as there are coarse buckets are
+joined into one, which is as large as a chunk's, and only that is cut finely. Answers
+take the same way back. Blocks then grow as the input to the power 1.5.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +34,24 @@ RUNS = "bucket int, chunk int, run binary"
 ANSWERS = "chunk int, bucket int, phase int, answer binary"
 
 
+#: Blocks of an exchange without a coarse level, at most.
+MOST_BLOCKS = 1 << 22
+
+
+class Buckets(int):
+    """A number of key ranges, each made up of ``finer`` ranges in which keys are merged."""
+
+    finer = 1
+
+    @classmethod
+    def of(cls, chunks: int, buckets: int, most: int) -> "Buckets":
+        if chunks * buckets <= most or buckets < 4:
+            return cls(buckets)
+        coarse = cls(math.isqrt(buckets - 1) + 1)
+        coarse.finer = -(-buckets // coarse)
+        return coarse
+
+
 class Texts:
     """The documents of one chunk."""
 
@@ -64,6 +89,10 @@ class Run:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         return cls(keys[first], np.minimum.reduceat(ids, first) if len(first) else ids)
 
+    @classmethod
+    def joined(cls, runs: list["Run"]) -> "Run":
+        return cls.merged(np.concatenate([r.keys for r in runs]), np.concatenate([r.ids for r in runs]))
+
     def cut(self, buckets: int) -> Iterator[tuple[int, slice]]:
         """Its parts by bucket; empty ones are left out."""
         at = (self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
@@ -97,10 +126,11 @@ class Run:
         return cls(upper << np.uint64(16) | tag.astype(np.uint64), ids[place] if m > 1 else np.repeat(ids, n))
 
 
-def chunked(docs: DataFrame, keep_rest: bool = False, counts: tuple[int, int] | None = None) -> tuple[DataFrame, int, int]:
+def chunked(docs: DataFrame, keep_rest: bool = False, counts: tuple[int, int] | None = None) -> tuple[DataFrame, int, Buckets]:
     """(documents with their chunk, chunks, buckets). keep_rest: other columns go along in the struct ``rest``. counts: chunks and buckets, if known."""
     bounded_batches(docs.sparkSession)
     chunks, buckets = counts or sizes(docs)
+    buckets = Buckets.of(chunks, buckets, int(docs.sparkSession.conf.get("spark.tessera.mostBlocks", str(MOST_BLOCKS))))
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest")] if keep_rest and len(docs.columns) > 2 else []
     return docs.select(document_chunk(F.col("doc_id"), F.col("text"), chunks).alias("chunk"), "doc_id", "text", *rest), chunks, buckets
 
@@ -141,9 +171,36 @@ def packed(run: Run, buckets: int, chunk: int) -> pa.Table:
     return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "chunk": pa.array([chunk] * len(parts), pa.int32()), "run": pa.array([r for _, r in parts], pa.binary())})
 
 
-def resolve(runs: DataFrame, merge: Callable[[list[Run]], list[bytes]], phase: int = 1) -> DataFrame:
-    """``merge`` gets the runs of a bucket and gives the answer to each."""
+def resolve(runs: DataFrame, merge: Callable[[list[Run]], list[bytes]], phase: int = 1, buckets: int = 1, within: Callable[[list[Run]], list[bytes]] | None = None, join: Callable[[list[Run]], Run] = Run.joined) -> DataFrame:
+    """``merge`` gets the runs of a bucket and gives the answer to each.
+
+    buckets: as the runs were cut by. With a coarse level, ``join`` makes one run of several, and ``within`` (``merge``, if not
+    given) says what they answer to each other; bits of that and of the joined run's answer are put together.
+    """
+    finer = getattr(buckets, "finer", 1)
+    if finer == 1:
+        return _resolved(runs, merge, phase)
+    within = within or merge
+
+    def of_group(key: tuple, table: pa.Table) -> pa.Table:
+        return packed(join([Run.unpack(x.as_py()) for x in table.column("run")]), buckets * finer, key[1].as_py())
+
+    def back(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        chunks, own = np.asarray(table.column("chunk")), [Run.unpack(x.as_py()) for x in table.column("run")]
+        live = [k for k, c in enumerate(chunks) if c >= 0]
+        if not live:
+            return pa.table({"chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "phase": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
+        whole, flags, here = join(own), answer(answers, phase), within(own)
+        said = [(np.frombuffer(here[k], np.uint8) | flags[whole.find(own[k].keys)]).tobytes() for k in live]
+        return pa.table({"chunk": pa.array(chunks[live], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(live), pa.int32()), "phase": pa.array([phase] * len(live), pa.int32()), "answer": pa.array(said, pa.binary())})
+
+    grouped = runs.withColumn("set", F.floor(F.col("chunk") / int(buckets)).cast("int"))
+    joined = grouped.groupBy("bucket", "set").applyInArrow(of_group, RUNS)
+    answers = _resolved(joined, merge, phase).withColumnRenamed("chunk", "set").withColumn("coarse", F.floor(F.col("bucket") / finer).cast("int"))
+    return grouped.groupBy("bucket", "set").cogroup(answers.groupBy("coarse", "set")).applyInArrow(back, ANSWERS)
+
 
+def _resolved(runs: DataFrame, merge: Callable[[list[Run]], list[bytes]], phase: int) -> DataFrame:
     def of_bucket(key: tuple, table: pa.Table) -> pa.Table:
         chunks = np.asarray(table.column("chunk"))
         back = merge([Run.unpack(x.as_py()) for x in table.column("run")])

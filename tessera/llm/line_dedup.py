@@ -99,8 +99,11 @@ def _keys(lines: list[bytes], min_chars: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(keys, np.uint64), np.array(at, np.int64)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10, documents_out: bool = False) -> DataFrame:
-    """A row for each document: doc_id, n_lines, n_dropped, kept_sha256; or, with documents_out, its columns with the text that is left."""
+def line_dedup(docs: DataFrame, min_chars: int = 10, documents_out: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """A row for each document: doc_id, n_lines, n_dropped, kept_sha256; or, with documents_out, its columns with the text that is left.
+
+    drop_emptied: with documents_out, documents that lost lines and have no word left go as well: all of their text stands in earlier ones.
+    """
     rows, _, buckets = blocks.chunked(docs, keep_rest=documents_out)
 
     def run(texts: Texts) -> Run:
@@ -118,11 +121,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, documents_out: bool = False
             n_dropped.append(len(gone))
             kept.append(b"\n".join([x for k, x in enumerate(lines) if k not in gone] if gone else lines))
         if documents_out:
-            return texts.replaced(kept)
+            out = texts.replaced(kept)
+            return out.filter(pa.array([not lost or bool(text.strip()) for lost, text in zip(n_dropped, kept, strict=True)], pa.bool_())) if drop_emptied else out
         sha = [hashlib.sha256(x).hexdigest() for x in kept]
         return pa.table({"doc_id": texts.table.column("doc_id").cast(pa.int64()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-    answers = blocks.resolve(blocks.emit(rows, buckets, run), probe_all)
+    answers = blocks.resolve(blocks.emit(rows, buckets, run), probe_all, buckets=buckets)
     if documents_out:
         return blocks.restored(blocks.finish(rows, answers, apply, blocks.replaced_schema(rows)), docs)
     return blocks.finish(rows, answers, apply, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -66,6 +66,15 @@ def frequencies(runs: list[Run]) -> list[bytes]:
     return [x.tobytes() for x in np.split(flags, np.cumsum([len(r.keys) for r in runs])[:-1])]
 
 
+def _added(runs: list[Run]) -> Run:
+    """One run with the sums of the frequencies."""
+    keys, counts = np.concatenate([r.keys for r in runs]), np.concatenate([r.ids for r in runs])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return Run(keys[first], np.add.reduceat(counts[order], first))
+
+
 def _counted(sets: list[np.ndarray]) -> Run:
     keys, counts = np.unique(np.concatenate([*(np.unique(s & _UPPER) for s in sets), np.empty(0, np.uint64)]), return_counts=True)
     return Run(keys, counts.astype(np.int64))
@@ -95,7 +104,7 @@ def incidence(docs: DataFrame, size: int, percent: int) -> DataFrame:
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
         return pa.table([texts.table.column("doc_id").cast(pa.int64()), *columns], names=["doc_id", "n", "signature", "n_unique", "first", "shared"])
 
-    answers = blocks.resolve(blocks.emit(rows, buckets, run), frequencies)
+    answers = blocks.resolve(blocks.emit(rows, buckets, run), frequencies, buckets=buckets, within=lambda runs: [bytes(len(r.keys)) for r in runs], join=_added)
     return blocks.finish(rows, answers, apply, "doc_id long, n long, signature binary, n_unique long, first array<long>, shared binary")
 
 

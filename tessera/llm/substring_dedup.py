@@ -116,30 +116,30 @@ def substring_dedup(docs: DataFrame, window: int = 13, history: DataFrame | None
     had, most = _shape(history) if history is not None else (None, None)
     if had not in (None, window):
         raise ValueError(f"the index has windows of {had} words, not {window}")
-    buckets = buckets or max(own, most or 0)
+    buckets = buckets or (own if own >= (most or 0) else most)
     runs = _runs(rows, window, buckets)
-    return _left(rows, runs if history is None else runs.unionByName(recut(history, buckets, window)), window, texts_out)
+    return _left(rows, runs if history is None else runs.unionByName(recut(history, buckets, window)), window, buckets, texts_out)
 
 
 def batched_dedup(docs: DataFrame, window: int = 13, batches: int = BATCHES, texts_out: bool = True) -> DataFrame:
     """As ``substring_dedup`` of all documents, in batches of ascending ids with compaction between them."""
-    (chunks, buckets), doc_id = sizes(docs, spread=1), F.col("doc_id")
+    (chunks, ranges), doc_id = sizes(docs, spread=1), F.col("doc_id")
     # The batches' first steps run side by side, so a batch needs its share of the chunks; runs of few keys travel in more bytes a key.
-    counts = -(-chunks // batches), buckets
+    counts = -(-chunks // batches), ranges
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
     edges, out, history = [*sorted(set(cuts)), None], [], None
     for low, high in zip([None, *edges[:-1]], edges, strict=True):
         # Rows of one id stay together; null ids, the largest, come last.
         part = docs.where(doc_id < high) if high is not None else docs.where(doc_id.isNull() | (doc_id >= low)) if low is not None else docs
-        rows, _, _ = blocks.chunked(part.where(doc_id >= low) if None not in (low, high) else part, counts=counts)
+        rows, _, buckets = blocks.chunked(part.where(doc_id >= low) if None not in (low, high) else part, counts=counts)
         runs = _runs(rows, window, buckets)
         runs = runs if history is None else runs.unionByName(history.select("bucket", "chunk", "run"))
-        out.append(_left(rows, runs, window, texts_out))
+        out.append(_left(rows, runs, window, buckets, texts_out))
         history = _compacted(runs, window, buckets, older=True)
     return functools.reduce(DataFrame.unionByName, out)
 
 
-def _left(rows: DataFrame, runs: DataFrame, window: int, texts_out: bool) -> DataFrame:
+def _left(rows: DataFrame, runs: DataFrame, window: int, buckets: int, texts_out: bool) -> DataFrame:
     """What is left of the documents that ``runs`` has the runs of."""
 
     def apply(texts: Texts, back: pa.Table) -> pa.Table:
@@ -154,7 +154,7 @@ def _left(rows: DataFrame, runs: DataFrame, window: int, texts_out: bool) -> Dat
         n_words, n_removed, sha, kept_text = zip(*out, strict=True) if out else ((),) * 4
         return pa.table({"doc_id": texts.table.column("doc_id").cast(pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept_text, pa.binary()).cast(pa.string())})
 
-    return blocks.finish(rows, blocks.resolve(runs, blocks.not_first), apply, SCHEMA)
+    return blocks.finish(rows, blocks.resolve(runs, blocks.not_first, buckets=buckets), apply, SCHEMA)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

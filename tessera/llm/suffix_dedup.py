@@ -123,9 +123,9 @@ def _gone(found: Found, back: pa.Table) -> list[np.ndarray]:
 
 def _steps(docs: DataFrame, window: int, depth: int, keep_rest: bool) -> tuple[DataFrame, DataFrame]:
     rows, _, buckets = blocks.chunked(docs, keep_rest)
-    first = blocks.by_chunk(blocks.resolve(blocks.emit(rows, buckets, lambda texts: Found(texts, window, depth).suffixes()), equal_neighbours, 1))
+    first = blocks.by_chunk(blocks.resolve(blocks.emit(rows, buckets, lambda texts: Found(texts, window, depth).suffixes()), equal_neighbours, 1, buckets))
     again = blocks.emit_again(rows, first, buckets, lambda texts, shared: Found(texts, window, depth).extended(shared)[1])
-    return rows, first.unionByName(blocks.resolve(again, blocks.not_first, 2))
+    return rows, first.unionByName(blocks.resolve(again, blocks.not_first, 2, buckets))
 
 
 def spans(gone: np.ndarray) -> list[tuple[int, int]]:

@@ -35,7 +35,12 @@ def op3(docs, size=13):
     return [(i, len(w), sum(g), sha(" ".join(x for x, y in zip(w, g) if not y))) for (i, _), (w, g) in zip(docs, window_repeats(docs, size))]
 
 
-def op8(docs, min_chars=10):
+def op8_text(docs, min_chars=10):
+    """What is left of each text."""
+    return op8(docs, min_chars, whole=True)
+
+
+def op8(docs, min_chars=10, whole=False):
     strip = "".join(map(chr, [32, *range(9, 14)]))
     low = {c: c + 32 for c in range(65, 91)}
     key = lambda line: line.strip(strip).translate(low)
@@ -47,7 +52,7 @@ def op8(docs, min_chars=10):
     for i, t in docs:
         lines = (t or "").split("\n")
         kept = [x for x in lines if len(key(x)) < min_chars or first[key(x)] >= big(i)]
-        out.append((i, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+        out.append("\n".join(kept) if whole else (i, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     return out
 
 

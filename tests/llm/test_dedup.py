@@ -34,6 +34,12 @@ def test_line_dedup_keeps_columns(frame, docs):
     assert sorted(r.chunk for r in out.collect()) == sorted(r.chunk for r in frame.collect())
 
 
+def test_line_dedup_drops_the_emptied(spark):
+    rows = [(1, "this is a long line"), (2, "this is a long line\n  THIS is a long line \n"), (3, ""), (4, None), (5, "this is a long line\nother"), (6, "\n\n")]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), documents_out=True, drop_emptied=True)
+    assert got(out, "doc_id", "text") == [(1, "this is a long line"), (3, ""), (4, ""), (5, "other"), (6, "\n\n")]
+
+
 @pytest.mark.parametrize("window, depth", [(50, 20), (10, 4), (5, 5)])
 def test_suffix_dedup(frame, docs, window, depth):
     want = [(i, sum(g)) for (i, _), g in zip(docs, brute.op2_gone(docs, window), strict=True)]
@@ -110,6 +116,31 @@ def test_history_of_other_sizes(frame, docs, tmp_path):
         substring_dedup(high, window=9, history=stored)
 
 
+def test_coarse_level(spark, frame, docs, monkeypatch):
+    """Runs joined before they are cut finely give the same answers, and history too."""
+    monkeypatch.setattr(blocks, "MOST_BLOCKS", 1)
+    assert blocks.chunked(frame, counts=(8, 16))[2].finer == 4
+    monkeypatch.setattr(blocks, "sizes", lambda df, **_: (8, 16))
+    four = "doc_id", "n_words", "n_removed", "kept_sha256"
+    assert got(substring_dedup(frame), *four) == sorted(brute.op3(docs))
+    assert got(substring_dedup(frame.where("doc_id >= 70"), history=compact(index_of(frame.where("doc_id < 70")))), *four) == sorted(r for r in brute.op3(docs) if r[0] >= 70)
+    assert got(line_dedup(frame), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.op8(docs))
+    assert got(ngram_join(frame, 3, 90), "doc_id", "n_shingles", "component_id") == sorted(brute.op6(docs, 3, 90))
+    have = {}
+    for i, a, b in got(repeated_passages(frame), "doc_id", "start_word", "end_word"):
+        have[i] = have.get(i, 0) + b - a
+    assert have == {i: sum(g) for (i, _), g in zip(docs, brute.op2_gone(docs), strict=True) if any(g)}
+
+
+def test_blocks_grow_less_than_squared():
+    def count(chunks):
+        buckets = blocks.Buckets.of(chunks, chunks // 4, blocks.MOST_BLOCKS)
+        assert buckets * buckets.finer >= chunks // 4
+        return chunks * buckets + -(-chunks // buckets) * buckets * buckets.finer if buckets.finer > 1 else chunks * buckets
+
+    assert count(1000) == 250_000 and count(400_000) < 4e8 and count(400_000) / count(100_000) < 4**1.55
+
+
 @pytest.mark.parametrize("batches", [1, 2, 4])
 def test_batches_equal_one(frame, docs, batches):
     assert got(batched_dedup(frame, batches=batches), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op3(docs))
