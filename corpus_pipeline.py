@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 ``documents``. Between stages the rows are written as Parquet to the shared
 folder and read again, so that a lost executor costs one stage's tasks at most.
+
+Defined results: an empty ``documents`` gives no rows; a null or empty text fails
+the quality rules; without trusted labels the base rules alone decide; rows that
+repeat are copies like others; a null doc_id counts as larger than all numbers.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the lines that a document with a smaller doc_id has."""
-    return line_dedup(docs, documents_out=True)
+    """Without the lines that a document with a smaller doc_id has, and without documents of which no word is left."""
+    return line_dedup(docs, documents_out=True, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
