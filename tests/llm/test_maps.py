@@ -173,12 +173,20 @@ def test_bpe_on_any_text(byte_path):
     @given(st.text(max_size=60))
     def equal(text):
         ids = own.encode(text)
-        assert list(ids) == library.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(ids, "<u4")) == library.encode(text, add_special_tokens=False).ids
         assert own.decode(ids) == text
 
+    @settings(max_examples=60, deadline=None)
+    @given(st.lists(MIXED, max_size=8))
+    def batches_equal(texts):
+        ids = own.encode_batch(pa.array([*texts, None], pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+        assert own.decode_batch(ids) == [t.encode() for t in [*texts, ""]]
+
     equal()
+    batches_equal()
     long = "aaaa" * 5000 + "b" * 3000
-    assert list(own.encode(long)) == library.encode(long, add_special_tokens=False).ids
+    assert list(np.frombuffer(own.encode(long), "<u4")) == library.encode(long, add_special_tokens=False).ids
 
 
 # ---- packing
