@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import NO_ID, bounded_batches, document_chunk, sizes, text_bytes
+from .common import NO_ID, bounded_batches, document_chunk, release, sizes, text_bytes
 
 RUNS = "bucket int, chunk int, run binary"
 ANSWERS = "chunk int, bucket int, phase int, answer binary"
@@ -151,8 +151,9 @@ def emit(docs: DataFrame, buckets: int, run: Callable[[Texts], Run]) -> DataFram
     """A run for each chunk, cut by bucket."""
 
     def of_chunk(key: tuple, table: pa.Table) -> pa.Table:
-        own = run(Texts(table))
-        return packed(own, buckets, key[0].as_py())
+        out = packed(run(Texts(table)), buckets, key[0].as_py())
+        release()
+        return out
 
     return docs.groupBy("chunk").applyInArrow(of_chunk, RUNS)
 
@@ -161,7 +162,9 @@ def emit_again(docs: DataFrame, answers: DataFrame, buckets: int, run: Callable[
     """A further run for each chunk, which depends on the answers to the first."""
 
     def of_chunk(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
-        return packed(run(Texts(table), answer(back)), buckets, key[0].as_py())
+        out = packed(run(Texts(table), answer(back)), buckets, key[0].as_py())
+        release()
+        return out
 
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(of_chunk, RUNS)
 
@@ -204,6 +207,7 @@ def _resolved(runs: DataFrame, merge: Callable[[list[Run]], list[bytes]], phase:
     def of_bucket(key: tuple, table: pa.Table) -> pa.Table:
         chunks = np.asarray(table.column("chunk"))
         back = merge([Run.unpack(x.as_py()) for x in table.column("run")])
+        release()
         live = [k for k, c in enumerate(chunks) if c >= 0]
         return pa.table({"chunk": pa.array(chunks[live], pa.int32()), "bucket": pa.array([key[0].as_py()] * len(live), pa.int32()), "phase": pa.array([phase] * len(live), pa.int32()), "answer": pa.array([back[k] for k in live], pa.binary())})
 
@@ -225,7 +229,9 @@ def finish(docs: DataFrame, answers: DataFrame, apply: Callable[[Texts, pa.Table
     """Each chunk with the answers to its runs."""
 
     def of_chunk(table: pa.Table, back: pa.Table) -> pa.Table:
-        return apply(Texts(table), back)
+        out = apply(Texts(table), back)
+        release()
+        return out
 
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(of_chunk, schema)
 

@@ -6,6 +6,7 @@ number. Rows that repeat are rows of one document when their ids are equal.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -66,6 +67,16 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def release() -> None:
+    """Gives memory that is free in this Python worker back to the machine: workers are kept, and hold what a step needed at most."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
+
 def values(strings: pa.Array) -> list[bytes]:
     """The bytes of strings without nulls; quicker than ``to_pylist`` for many short ones."""
     large = strings.cast(pa.large_binary())
@@ -84,6 +95,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        release()
 
     return df.mapInArrow(run, schema)
 
