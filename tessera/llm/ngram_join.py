@@ -15,11 +15,13 @@ never formed as a whole:
   in few groups, since near copies have the same leader.
 * The leader's row is multiplied with all rows of the group first. Rows that link
   to it are of one component already; only the others meet the whole group.
-* For that, a group is cut into blocks of ``BLOCK_ROWS`` rows. Each pair of blocks is
-  one product: overlap counts are accumulated column by column in a small dense
-  matrix, and pairs below the bound t / (1 + t) (n_x + n_y) are discarded. Of the
-  links left, a spanning forest is emitted: fewer links than rows, and the same
-  components.
+* For that, a group is cut into classes by set size, wide enough that rows that link
+  are of one class or of two next to each other, and a class into blocks bounded by
+  ``BLOCK_ROWS`` rows and about ``BLOCK_BYTES``. Other pairs of blocks are never formed. Each
+  pair of blocks is one product: overlap counts are accumulated column by column in
+  a small dense matrix, and pairs below the bound t / (1 + t) (n_x + n_y) are
+  discarded. Of the links left, a spanning forest is emitted: fewer links than
+  rows, and the same components.
 
 Defined results: a null or empty text has an empty set and links with nothing; a
 text with fewer words than an n-gram has its whole sequence as one; documents
@@ -29,10 +31,13 @@ doc_id are one document; other columns of the input play no part.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -40,7 +45,8 @@ from .blocks import Run, Texts
 from .common import checkpointed, documents, window_hashes, word_hashes
 from .components import connected_components
 
-BLOCK_ROWS = 1024
+#: Rows of a block, and bytes of their sets: what a product holds of each side, but for one longer row.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 #: The block exchange compares the upper 48 bits; a frequency counted too high by a collision costs time, not results.
 _UPPER = ~np.uint64(0xFFFF)
 #: Columns with at most so many rows are accumulated together, not one by one.
@@ -156,12 +162,13 @@ def _linked(counts: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent
 
 
 def star(table: pa.Table, percent: int) -> pa.Table:
-    """(leader, doc_id, linked): the rows of a part of a group against its leader, one row of the matrix."""
+    """(leader, doc_id, n, bytes, linked): the rows of a part of a group against its leader, one row of the matrix."""
     ids, n = (np.asarray(table.column(c)) for c in ("doc_id", "n"))
     leader = table.column("leader")[0].as_py()
     own, others = np.flatnonzero(ids == leader), np.flatnonzero(ids != leader)
     linked = _linked(overlaps(_sets(table, own), _sets(table, others)), n[own], n[others], percent).any(0) if len(others) else np.empty(0, bool)
-    return pa.table({"leader": pa.array([leader] * len(others), pa.int64()), "doc_id": pa.array(ids[others], pa.int64()), "linked": pa.array(linked, pa.bool_())})
+    width = np.asarray(pc.binary_length(table.column("shared")))
+    return pa.table({"leader": pa.array([leader] * len(others), pa.int64()), "doc_id": pa.array(ids[others], pa.int64()), "n": pa.array(n[others], pa.int64()), "bytes": pa.array(width[others], pa.int64()), "linked": pa.array(linked, pa.bool_())})
 
 
 def product(table: pa.Table, percent: int) -> pa.Table:
@@ -180,34 +187,48 @@ def product(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _place(parts: str) -> F.Column:
+def _place(parts: str) -> Column:
     return F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int")
 
 
-def _each(parts: str) -> F.Column:
+def _each(parts: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
 
+def _parts(rows: Column, size: Column) -> Column:
+    """Blocks for so many rows and bytes."""
+    return F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_BYTES)).cast("int")
+
+
+def size_class(n: Column, percent: int) -> Column:
+    """Sets link only if the smaller has ``percent`` of the larger's size: classes of that ratio, a trifle wider, so that rounding can't part them by two."""
+    return F.floor(F.ln(n) / (math.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else n.cast("int")
+
+
 def links(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect all rows (doc_id, n, n_unique, first, shared) of a component."""
-    postings = rows.select("doc_id", "n_unique", F.explode("first").alias("gram"))
+    postings = rows.select("doc_id", "n_unique", (F.col("n") - F.col("n_unique")).alias("n_shared"), F.explode("first").alias("gram"))
     leaders = postings.groupBy("gram").agg(F.min(F.struct("n_unique", "doc_id"))["doc_id"].alias("leader"), F.count("*").alias("c")).where("c > 1").select("gram", "leader")
-    members = postings.select("gram", "doc_id").join(leaders, "gram").select("leader", "doc_id").distinct()
+    members = postings.select("gram", "doc_id", "n_shared").join(leaders, "gram").select("leader", "doc_id", "n_shared").distinct()
     sets = rows.select("doc_id", "n", "shared")
-    blocks_of = lambda c: F.ceil(c / BLOCK_ROWS).cast("int")
 
     # Each row against its leader: those that link are of one component, and no pair of them needs a look.
-    parts = members.groupBy("leader").agg(blocks_of(F.count("*")).alias("parts"))
+    parts = members.groupBy("leader").agg(_parts(F.count("*"), 8 * F.sum("n_shared")).alias("parts"))
     leading = parts.select("leader", F.col("leader").alias("doc_id"), _each("parts").alias("part"))
     following = members.where("doc_id <> leader").join(parts, "leader").select("leader", "doc_id", _place("parts").alias("part"))
-    seen = checkpointed(leading.unionByName(following).join(sets, "doc_id").groupBy("leader", "part").applyInArrow(lambda table: star(table, percent), "leader long, doc_id long, linked boolean"))
-
-    # The others against all of the group but the leader, block by block.
-    counts = seen.groupBy("leader").agg(F.count_if(~F.col("linked")).alias("apart"), F.count("*").alias("c")).where("apart > 0 AND c > 1").select("leader", blocks_of(F.col("apart")).alias("lefts"), blocks_of(F.col("c")).alias("rights"))
-    placed = seen.join(counts, "leader")
-    left = placed.where("NOT linked").select("leader", "doc_id", _place("lefts").alias("i"), _each("rights").alias("j"), F.lit(True).alias("is_left"))
-    right = placed.select("leader", "doc_id", _each("lefts").alias("i"), _place("rights").alias("j"), F.lit(False).alias("is_left"))
-    found = left.unionByName(right).join(sets, "doc_id").groupBy("leader", "i", "j").applyInArrow(lambda table: product(table, percent), "a long, b long")
+    against = leading.unionByName(following).join(sets, "doc_id").groupBy("leader", "part")
+    seen = checkpointed(against.applyInArrow(lambda table: star(table, percent), "leader long, doc_id long, n long, bytes long, linked boolean"))
+
+    # The others against the rows of the group that their sizes let them link with, but for the leader, block by block.
+    classed = seen.withColumn("class", size_class(F.col("n"), percent))
+    apart = F.when(~F.col("linked"), F.col("bytes"))
+    counts = classed.groupBy("leader", "class").agg(F.count(apart).alias("apart"), F.sum(apart).alias("size"), F.count("*").alias("c"), F.sum("bytes").alias("whole"))
+    lefts = counts.where("apart > 0").select("leader", F.col("class").alias("x"), F.col("c").alias("own"), _parts(F.col("apart"), F.col("size")).alias("lefts"), F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("y"))
+    rights = counts.select("leader", F.col("class").alias("y"), "c", _parts(F.col("c"), F.col("whole")).alias("rights"))
+    pairs = lefts.join(rights, ["leader", "y"]).where("x <> y OR own > 1").select("leader", "x", "y", "lefts", "rights")
+    left = classed.where("NOT linked").withColumnRenamed("class", "x").join(pairs, ["leader", "x"]).select("leader", "doc_id", "x", "y", _place("lefts").alias("i"), _each("rights").alias("j"), F.lit(True).alias("is_left"))
+    right = classed.withColumnRenamed("class", "y").join(pairs, ["leader", "y"]).select("leader", "doc_id", "x", "y", _each("lefts").alias("i"), _place("rights").alias("j"), F.lit(False).alias("is_left"))
+    found = left.unionByName(right).join(sets, "doc_id").groupBy("leader", "x", "y", "i", "j").applyInArrow(lambda table: product(table, percent), "a long, b long")
     return found.unionByName(seen.where("linked").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
 
 

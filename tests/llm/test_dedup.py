@@ -9,7 +9,7 @@ from tessera.llm import blocks
 from tessera.llm.blocks import Run
 from tessera.llm.components import connected_components
 from tessera.llm.line_dedup import PerfectHash, Shard, line_dedup
-from tessera.llm.ngram_join import ngram_join, one_of_each, overlaps
+from tessera.llm.ngram_join import ngram_join, one_of_each, overlaps, size_class
 from tessera.llm.substring_dedup import batched_dedup, compact, index_of, substring_dedup
 from tessera.llm.suffix_dedup import anchors, cut, repeated_passages, suffix_dedup
 
@@ -82,6 +82,27 @@ def test_hot_group_in_blocks(spark, monkeypatch):
     assert got(ngram_join(df, 3, 90), "doc_id", "n_shingles", "component_id") == sorted(brute.op6(rows, 3, 90))
 
 
+@pytest.mark.parametrize("percent, step", [(90, 10), (80, 5), (50, 2), (100, 3)])
+def test_size_classes(spark, monkeypatch, percent, step):
+    """Sets at the very bound of their sizes, in classes and in blocks cut by bytes: none is parted from its partners."""
+    from tessera.llm import ngram_join as m
+
+    monkeypatch.setattr(m, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(m, "BLOCK_BYTES", 2000)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[: 20 + k * step])) for k in range(30)]
+    rows += [(100 + k, " ".join(words[: 100 * percent // 100 * (k + 1) // 2])) for k in range(6)] + [(200 + k, " ".join(words[: 50 * (k + 1)])) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(ngram_join(df, 1, percent), "doc_id", "n_shingles", "component_id") == sorted(brute.op6(rows, 1, percent))
+
+
+def test_size_classes_hold_all_sizes_that_link(spark):
+    for percent in (50, 80, 90, 99):
+        n = spark.range(1, 3000).select(F.col("id").alias("large"), F.ceil(F.col("id") * percent / 100).alias("small"))
+        gap = size_class(F.col("large"), percent) - size_class(F.col("small"), percent)
+        assert n.where(gap > 1).count() == 0
+
+
 def test_empty_tables(empty):
     for df in (substring_dedup(empty), line_dedup(empty), line_dedup(empty, documents_out=True), repeated_passages(empty), suffix_dedup(empty), ngram_join(empty), one_of_each(empty)):
         assert df.count() == 0
