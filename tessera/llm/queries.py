@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, sql
+from . import asof, chat_format, exact_dedup, filter_audit, sql
+from .asof import op11_tolerant_asof
 from .bpe import op9_bpe_encoding
 from .chat_format import op7_chat_formatting
+from .exact_dedup import op12_exact_dedup
+from .filter_audit import op13_filter_audit
 from .license_scan import op10_license_scan
 from .line_dedup import op8_line_dedup
 from .media import op1_media_columns
@@ -27,6 +30,9 @@ QUERIES = {
         op8_line_dedup,
         op9_bpe_encoding,
         op10_license_scan,
+        op11_tolerant_asof,
+        op12_exact_dedup,
+        op13_filter_audit,
     )
 }
 ORACLE_SQL = {
@@ -35,4 +41,7 @@ ORACLE_SQL = {
     "op6_ngram_join": sql.NGRAM_JOIN,
     "op7_chat_formatting": chat_format.SQL,
     "op8_line_dedup": sql.LINE_DEDUP,
+    "op11_tolerant_asof": asof.SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
