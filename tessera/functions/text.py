@@ -199,7 +199,7 @@ def negated(query: Column, negative: Column) -> Column:
 
 
 def distance(x: Column, y: Column, metric: str = "l2") -> Column:
-    """Squared Euclidean, cosine or negative dot distance, in double precision."""
+    """Squared Euclidean, cosine or negative dot distance, in double precision; the cosine of a zero vector is null."""
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     if metric == "l2":
         gap = F.zip_with(x, y, lambda p, q: p.cast("double") - q.cast("double"))
@@ -207,7 +207,7 @@ def distance(x: Column, y: Column, metric: str = "l2") -> Column:
     if metric == "dot":
         return -product(x, y)
     if metric == "cosine":
-        return F.lit(1.0) - product(x, y) / F.sqrt(product(x, x) * product(y, y))
+        return F.lit(1.0) - F.try_divide(product(x, y), F.sqrt(product(x, x) * product(y, y)))
     raise ValueError(f"unknown metric {metric!r}")
 
 

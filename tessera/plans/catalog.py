@@ -7,7 +7,7 @@ for chunk vectors (label = type), even and odd ids or languages for branches,
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -588,7 +588,7 @@ def watch_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 def watch_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream, counted by the kind of change, run until it has caught up."""
     schema = table(spark, sf_dir, "events").schema
-    name = "tessera_events_" + next(tempfile._get_candidate_names())
+    name = f"tessera_events_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     running = stream.groupBy("event_type").agg(F.count("*").alias("n")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
