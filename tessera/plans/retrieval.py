@@ -114,7 +114,8 @@ asked AS (SELECT item_id AS query_id, array_to_string(({_WORDS})[1:{_LEAD}], ' '
 SELECT query_id, doc_id, count(*) AS places FROM asked JOIN runs USING (run) WHERE n >= {_LEAD} GROUP BY ALL""")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold the first four words of a benchmark item in a row."""
-    words = F.regexp_extract_all("text", F.lit(r"([^\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]+)"))
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.regexp_extract_all(F.translate("text", capitals, capitals.lower()), F.lit(r"([^\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]+)"))
     asked = items(spark, sf_dir).withColumn("words", words).where(F.size("words") >= _LEAD)
     found = text_index(spark, sf_dir).phrase(asked.select("query_id", F.array_join(F.slice("words", 1, _LEAD), " ").alias("text")))
     return found.select("query_id", F.col("id").alias("doc_id"), "places")
