@@ -34,11 +34,11 @@ def _open(df: DataFrame, schema: str, code: str | None) -> DataFrame:
 def export(store: Store, to: str, code: str | None = None) -> dict:
     if code is not None and not secrets.CODE.match(code):
         raise ValueError("not a share code")
-    folder, tables = Folder(store.spark, to), {"chunks": store.chunks(), "files": store.files()}
+    folder, tables = Folder(store.spark, to), store.tables()
     folder.delete("DONE")
     for name, df in tables.items():
         _seal(df, code).write.mode("overwrite").parquet(f"{folder.path}/{name}")
-    counts = {name: df.count() for name, df in tables.items()}
+    counts = {name: store.spark.read.parquet(f"{folder.path}/{name}").count() for name in tables}
     folder.write("meta.json", json.dumps(store.metadata()))
     folder.write("DONE", json.dumps(counts | {"sealed": code is not None}))
     return counts

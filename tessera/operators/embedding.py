@@ -64,6 +64,19 @@ class HttpEmbedder:
         self.model, self.base_url, self.key_name, self.timeout_s = model, base_url.rstrip("/"), key_name, timeout_s
         self.query_prefix, self.document_prefix = query_prefix, document_prefix
 
+    #: Between the batches of a task, so that the service isn't pressed.
+    pause_s = PAUSE_S
+
+    def reload(self) -> bool:
+        """Whether the service answers again, which it is given a while for."""
+        for wait in (1.0, 4.0):
+            time.sleep(wait)
+            try:
+                return bool(self._ask(["reload"]))
+            except Exception:  # noqa: BLE001  still away
+                continue
+        return False
+
     def _ask(self, texts: list[str]) -> list[list[float]]:
         key = os.environ.get(self.key_name) if self.key_name else None  # read where it runs: keys don't travel with tasks
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})

@@ -1,13 +1,16 @@
 """From a source tree to an index: scan, diff, chunk, reuse, embed, commit.
 
-Everything is one lineage up to the embedded rows, which are written once (they
-are the only costly part); three tables then change in one commit. Files whose
-content any branch has are not read again: their rows are made from stored ones.
+Chunks and the vectors made for them are written once, to a folder of the store that goes after the commit, so a lost
+executor costs no text a second embedding and what is counted is what is stored; two tables then change in one commit.
+Files whose content any branch has are not read again: their rows are made from stored ones. What is stored meets
+what is new by a semi-join on keys: neither file contents nor stored vectors are shuffled while the new keys are few.
 """
 
 from __future__ import annotations
 
+import contextlib
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,12 @@ from ..sources.snapshots import Store
 from ..types import BuildOptions, BuildResult
 
 
+def known_vectors(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """(embedKey, vector) of stored rows, once for each of the new keys that has one."""
+    held = stored.where("vector IS NOT NULL").select(embed_key().alias("embedKey"), "vector")
+    return held.join(source.few(keys), "embedKey", "left_semi").dropDuplicates(["embedKey"])
+
+
 def embed_key() -> F.Column:
     """Vectors are reused where header and content are equal."""
     return F.sha2(F.concat_ws("\n", "context", "content"), 256)
@@ -35,6 +44,7 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     if options.reset and not options.dry:
         store.reset()
     if not options.dry:
+        store.folder.delete("staging")  # of a build that didn't end
         store.migrate(branch)
     manifest, stored = store.files(branch).cache(), store.chunks()
     if options.reset:
@@ -70,26 +80,34 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     moved = known.join(model_rows, "fileHash")
     moved = moved.withColumn("context", F.regexp_replace("context", r"^\[file: [^\n]*\]", F.concat(F.lit("[file: "), F.regexp_replace("filePath", r"([\\$])", r"\\$1"), F.lit("]")))).withColumn("id", chunk_id(F.col("filePath"), F.col("startLine") - 1, F.col("hash")))
 
+    staging = f"staging/{uuid.uuid4().hex}"
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{store.folder.path}/{staging}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{store.folder.path}/{staging}/{name}")
+
     say("chunk", 0, 1)
+    fresh = source.few(fresh)
     texts = tree.join(fresh, "filePath").select("filePath", utf8(F.col("content")).alias("text"))
-    chunks = chunker(texts).join(fresh, "filePath")
+    chunks = staged(chunker(texts).join(fresh, "filePath"), "chunks")
     sized = within_size(chunks, config.max_tokens if config else None)
     # Chunks of equal header and content as stored ones keep their vectors.
-    vectors = stored.where("vector IS NOT NULL").select(embed_key().alias("embedKey"), "vector").dropDuplicates(["embedKey"])
     keyed = sized.withColumn("embedKey", embed_key())
-    reused = keyed.join(vectors, "embedKey") if not options.force else keyed.limit(0).withColumn("vector", F.lit(None).cast("array<float>"))
-    novel = keyed.join(vectors, "embedKey", "left_anti") if not options.force else keyed
-    say("embed", 0, 1)
-    batch = config.batch_size if config else 100
-    distinct = novel.select("embedKey", embed_text(F.col("context"), F.col("content")).alias("embedText")).dropDuplicates(["embedKey"])
-    made = embedded(distinct, embedder, dimensions=store.metadata().get("dimensions"), batch=batch).cache()
-    ready = novel.join(made, "embedKey").select(*sized.columns, "vector")
-    rows = reused.select(*sized.columns, "vector").unionByName(ready).cache()
+    vectors = staged(known_vectors(stored.limit(0) if options.force else stored, keyed.select("embedKey").distinct()), "known")
+    distinct = keyed.join(vectors, "embedKey", "left_anti").select("embedKey", embed_text(F.col("context"), F.col("content")).alias("embedText")).dropDuplicates(["embedKey"])
+    batch, total = config.batch_size if config else 100, distinct.count()
+    say("embed", 0, total)
+    expected = store.metadata().get("dimensions") or getattr(config, "dimensions", None)
+    if total and not expected:  # a first build: the model itself tells, if it answers
+        with contextlib.suppress(Exception):
+            expected = len(embedder.embed_query("dimensions"))
+    made = staged(embedded(distinct, embedder, dimensions=expected, batch=batch, pause_s=getattr(embedder, "pause_s", 0.0)), "made")
+    rows = keyed.join(vectors.unionByName(made.select("embedKey", "vector")), "embedKey").select(*sized.columns, "vector")
     counts = rows.agg(F.count_if(F.col("vector").isNotNull()), F.count_if(F.col("vector").isNull())).first()
     out.succeeded, out.failed = counts[0], counts[1]
-    out.oversize = chunks.count() - rows.count()
+    out.oversize = chunks.count() - out.succeeded - out.failed
 
-    say("store", 0, 1)
+    say("store", 0, out.succeeded)
     complete = changes.complete_files(todo, rows)
     replaced = todo.select("filePath").unionByName(gone)
     # Another branch may have the old content of a path: its rows stay while a manifest row of that path and hash does.
@@ -103,6 +121,8 @@ def build(spark: SparkSession, root: str, store: Store, embedder: Embedder, bran
     store.change(chunks=(fresh_rows, superseded), files=changes.manifest_change(store.files(), manifest_after))
     first = store.chunks().select(F.size("vector")).limit(1).first()
     store.write_metadata(root, branch, getattr(config, "model", None), first[0] if first else None)
-    for df in (*held, old, made, rows):
+    say("store", out.succeeded, out.succeeded)
+    for df in (*held, old):
         df.unpersist()
+    store.folder.delete(staging)
     return out

@@ -89,13 +89,22 @@ def ignore_rules(spark: SparkSession, root: str, extra: Iterable[str] = ()) -> N
 
 
 def not_ignored(files: DataFrame, rules: Nested) -> DataFrame:
-    """The paths that no rule excludes. Only paths go to Python; contents stay behind a join on them."""
+    """The files that no rule excludes. Only paths go to Python, contents stay where they were read."""
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[not rules(p) for p in batch["filePath"]]]
+    @F.pandas_udf("boolean")
+    def kept(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: not rules(p))
 
-    return files.join(files.select("filePath").mapInPandas(keep, "filePath string"), "filePath", "left_semi")
+    return files.where(kept("filePath"))
+
+
+#: Paths or keys that are sent to every task; more of them meet the other side in a shuffle.
+FEW = 200_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """The keys, with the hint to send them to every task if they are counted to be few."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
 
 
 def listed(spark: SparkSession, files: list[str] | DataFrame | None) -> DataFrame:
@@ -107,7 +116,7 @@ def scan(spark: SparkSession, root: str, extra_ignore: Iterable[str] = (), inclu
     """Code files below a folder: by extension, then by ignore rules; or an explicit list."""
     tree = read_tree(spark, root)
     if files is not None:
-        return tree.join(listed(spark, files).distinct(), "filePath", "left_semi")
+        return tree.join(few(listed(spark, files).distinct()), "filePath", "left_semi")
     return not_ignored(tree.where(extension(F.col("filePath")).isin(extensions(include, exclude))), ignore_rules(spark, root, extra_ignore))
 
 

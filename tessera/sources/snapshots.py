@@ -125,8 +125,14 @@ class Store:
         top = f"{self.folder.path}/{name}"
         return self.spark.read.option("basePath", top).schema(schema).parquet(*(f"{top}/{letter}={v}" for v in versions))
 
-    def table(self, name: str) -> DataFrame:
-        state, empty = self._pointer().get(name), self.spark.createDataFrame([], self.SCHEMAS[name])
+    def tables(self) -> dict[str, DataFrame]:
+        """All tables as of one commit."""
+        pointer = self._pointer()
+        return {name: self.table(name, pointer) for name in self.SCHEMAS}
+
+    def table(self, name: str, pointer: dict | None = None) -> DataFrame:
+        """pointer: of the commit to read; the latest if none is given."""
+        state, empty = (self._pointer() if pointer is None else pointer).get(name), self.spark.createDataFrame([], self.SCHEMAS[name])
         if state is None:
             return empty
         rows = self._read(name, "v", [state["base"], *state["deltas"]])
