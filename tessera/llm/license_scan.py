@@ -1,18 +1,17 @@
-"""License scans with a positional index of licence words.
+"""License scans with a positional rare-token index.
 
-The index holds, for each licence template, the postings (template, position)
-of all its words; how rare a word is comes from its document frequency over
-the whole corpus. A mandatory key phrase is looked up in a file by the word of
-it with the highest IDF, if the file holds all its words, and verified at each
-place of that word. A template counts once one of its key phrases stands. Around it,
-postings of the template are intersected by their position relative to the
-file; the score is the largest share of a template's words that stand in their
-places with the key phrase among them.
+The index holds for each licence word its postings: the templates that have it, and where. How rare a word is comes from its
+document frequency over the whole corpus. In a file the licence words are looked up from the highest IDF down: each of a
+word's places and each of its postings give a place where the template would start, and postings of several words meet where
+they give the same one. A template is looked up no further once the rarest word of each of its key phrases that the file can
+hold has been: any place where a key phrase stands has been met by then. Last, a mandatory key phrase is verified where the
+template has it; the score is the largest share of a template's words that stand in their places there.
 
 Base: the places where the phrases of ``BASE`` stand, whatever surrounds them.
 
 Defined results: a null or empty text has no words, no labels ("") and score 0; a
-null doc_id stays null, and every row is scanned for itself.
+null doc_id stays null, and every row is scanned for itself; a negated notice has
+the label that its phrase has.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ BASE = {
     b"cc by": "cc-by",
     b"mit license": "mit",
 }
+#: (label, identifier) of the short form that names a licence: fixed values.
+SPDX = [("agpl", "AGPL-3.0"), ("apache-2.0", "Apache-2.0"), ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("cc0", "CC0-1.0"), ("epl", "EPL-2.0"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"), ("isc", "ISC"), ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("mit", "MIT"), ("mpl", "MPL-2.0"), ("unlicense", "Unlicense")]
 #: (label, notice as its licence words it, mandatory key phrases, one of which must stand in it).
 TEMPLATES = [
     ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", ("apache license",)),
@@ -53,6 +54,17 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ("mozilla public license",)),
     ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("agpl", "This program is licensed under the GNU Affero General Public License", ("gnu affero general public license",)),
+    ("bsd-2-clause", "Licensed under the BSD 2-Clause License", ("bsd 2 clause",)),
+    ("bsd-3-clause", "Licensed under the BSD 3-Clause License", ("bsd 3 clause",)),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-Share Alike 4.0 International License", ("creative commons attribution share alike",)),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", ("eclipse public license",)),
+    ("gpl", "modify it under the terms of this license, either version 3 of the License, or (at your option) any later version", ("license or at your option any later version",)),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license version 2",)),
+    ("gpl-2.0", "under the terms of the GPL version 2", ("gpl version 2",)),
+    ("gpl-3.0", "under the terms of the GPL version 3", ("gpl version 3",)),
+    ("mpl", "subject to the terms of the Mozilla Public Licence", ("mozilla public licence",)),
+    *((label, f"SPDX-License-Identifier: {name}", (f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}",)) for label, name in SPDX),
 ]
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -84,37 +96,47 @@ class LicenseIndex:
         total = frequencies.get(b"", 0)
         self.idf = {w: math.log(1 + (1 + total) / (1 + frequencies.get(w, 0))) for w in vocabulary()}
         self.templates = [(label, license_words(t.encode()), [license_words(k.encode()) for k in keys]) for label, t, keys in TEMPLATES]
-        self.postings: list[dict[bytes, list[int]]] = []
-        for _, words, _ in self.templates:
-            self.postings.append(defaultdict(list))
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, (_, words, _) in enumerate(self.templates):
             for at, w in enumerate(words):
-                self.postings[-1][w].append(at)
-        self.known = {w for _, _, keys in self.templates for key in keys for w in key}
+                self.postings[w].append((t, at))
+        #: (template, phrase, places of the phrase in the template, rarest word of it) of every key phrase.
+        self.keys = [(t, key, [i for i in range(len(words)) if words[i : i + len(key)] == key], max(key, key=self._rarity)) for t, (_, words, keys) in enumerate(self.templates) for key in keys]
+        self.looked_up = 0
+
+    def _rarity(self, word: bytes) -> tuple[float, bytes]:
+        return self.idf[word], word
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
         """(labels, score) of a file."""
-        hits = self.known.intersection(words)
-        if not hits:
+        places: dict[bytes, list[int]] = defaultdict(list)
+        known = self.idf.keys() & set(words)
+        possible = [k for k in self.keys if known.issuperset(k[1])]
+        if not possible:
             return set(), 0.0
-        places = defaultdict(list)
+        last: dict[int, tuple[float, bytes]] = {}  # of each template the least rare word that it must be looked up by
+        for t, _, _, rarest in possible:
+            last[t] = min(last.get(t, (math.inf, b"")), self._rarity(rarest))
+        lowest = min(last.values())
+        rare = {w for w in known if self._rarity(w) >= lowest}
         for at, w in enumerate(words):
-            if w in hits:
+            if w in rare:
                 places[w].append(at)
+        starts: dict[int, Counter] = defaultdict(Counter)  # by template: the postings that agree on where it starts
+        self.looked_up = 0
+        for w in sorted(rare, key=self._rarity, reverse=True):
+            for t, inside in self.postings[w]:
+                if t in last and self._rarity(w) >= last[t]:
+                    self.looked_up += len(places[w])
+                    starts[t].update(at - inside for at in places[w])
         labels, best = set(), 0.0
-        for (label, template, keys), postings in zip(self.templates, self.postings, strict=True):
-            starts = set()  # of the template in the file, with the key phrase inside
-            for key in keys:
-                if hits.issuperset(key):
-                    rarest = max(range(len(key)), key=lambda i: self.idf[key[i]])
-                    for at in places[key[rarest]]:
-                        first = at - rarest
-                        if first >= 0 and words[first : first + len(key)] == key:
-                            starts.update(range(first + len(key) - len(template), first + 1))
-            if starts:
-                labels.add(label)
-                near = {at for start in starts for at in range(max(0, start), min(len(words), start + len(template)))}
-                votes = Counter(at - inside for at in near for inside in postings.get(words[at], ()))
-                best = max(best, max(votes[start] for start in starts) / len(template))
+        for t, key, insides, _ in possible:
+            label, template, _ = self.templates[t]
+            for start in starts[t]:
+                if any(start + i >= 0 and words[start + i : start + i + len(key)] == key for i in insides):
+                    labels.add(label)
+                    there = words[max(0, start) : max(0, start + len(template))]
+                    best = max(best, sum(a == b for a, b in zip(template[max(0, -start) :], there, strict=False)) / len(template))
         return labels, best
 
 

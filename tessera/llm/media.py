@@ -69,6 +69,8 @@ class Blob:
     def __init__(self, raw: bytes):
         self.raw, self.marks = raw, {}
         self.archives: dict[int, int] | None = None
+        self.chains: dict[int, int] = {}
+        self.gif_ends: dict[int, int | None] = {}
 
     def places(self, mark: bytes) -> list[int]:
         if mark not in self.marks:
@@ -79,6 +81,16 @@ class Blob:
             self.marks[mark] = found
         return self.marks[mark]
 
+    def after_chain(self, at: int) -> int:
+        """The place after a chain of sub-blocks, each led by its length, and its last, empty one; a byte that chains share is walked once."""
+        walked = []
+        while at not in self.chains and at < len(self.raw) and self.raw[at]:
+            walked.append(at)
+            at += 1 + self.raw[at]
+        end = self.chains.get(at, at + 1)
+        self.chains.update(dict.fromkeys(walked, end))
+        return end
+
     def next(self, mark: bytes, at: int) -> int | None:
         own = self.places(mark)
         k = bisect_left(own, at)
@@ -285,26 +297,32 @@ def valid_jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def valid_gif(b: bytes, at: int) -> int | None:
+def valid_gif(blob: Blob, at: int) -> int | None:
+    b = blob.raw
     if len(b) < at + 13 or not any(b[at + 6 : at + 10]):
         return None
     flags, at = b[at + 10], at + 13
     at += 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+    walked, end = [], None
     while at < len(b):
+        if at in blob.gif_ends:  # images that share their last blocks share their end
+            end = blob.gif_ends[at]
+            break
+        walked.append(at)
         kind = b[at]
         if kind == 0x3B:
-            return at + 1
+            end = at + 1
+            break
         if kind == 0x21:
             at += 2
         elif kind == 0x2C and at + 10 <= len(b):
             flags, at = b[at + 9], at + 10
             at += (3 << ((flags & 7) + 1) if flags & 0x80 else 0) + 1
         else:
-            return None
-        while at < len(b) and b[at]:
-            at += 1 + b[at]
-        at += 1
-    return None
+            break
+        at = blob.after_chain(at)
+    blob.gif_ends.update(dict.fromkeys(walked, end))
+    return end
 
 
 def valid_bmp(b: bytes, at: int) -> int | None:
@@ -376,7 +394,7 @@ def valid_ogg(b: bytes, at: int) -> int | None:
 
 
 VALID = {"riff": valid_riff, "mp4": valid_mp4, "matroska": valid_matroska, "png": valid_png, "jpeg": valid_jpeg, "gif": valid_gif, "bmp": valid_bmp, "pdf": valid_pdf, "zip": valid_zip, "gzip": valid_gzip, "flac": valid_flac, "ogg": valid_ogg, "tiff": valid_tiff, "mp3": valid_mp3}
-_OF_BLOB = ("pdf", "zip")
+_OF_BLOB = ("gif", "pdf", "zip")
 
 
 @lru_cache(1)

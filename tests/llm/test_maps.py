@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import media
 from tessera.llm.bpe import Bpe, bpe_ids, bpe_round_trip
 from tessera.llm.chat_format import SQL, chat_format
-from tessera.llm.license_scan import TEMPLATES, LicenseIndex, license_scan
+from tessera.llm.license_scan import TEMPLATES, LicenseIndex, license_scan, vocabulary
 from tessera.llm.packing import Tokens, best_fit, best_fit_packing, looked_ahead, packed
 from tessera.llm.quality import BUCKETS, judged, multinomials
 
@@ -146,7 +147,7 @@ def test_sniffing_takes_linear_time():
                 z.writestr(f"{k}.txt", "x")
         return out.getvalue()
 
-    for small, large in ((b"%PDF-1.4 " * 4000, b"%PDF-1.4 " * 64000), (archive(200), archive(3200))):
+    for small, large in ((b"%PDF-1.4 " * 4000, b"%PDF-1.4 " * 64000), (archive(200), archive(3200)), (b"GIF89a1234abc!" * 2000, b"GIF89a1234abc!" * 32000)):
         took = []
         for raw in (small, large):
             began = time.process_time()
@@ -360,23 +361,59 @@ def test_license_keys_alone(spark):
     assert all(TEMPLATES[k][0] in got[k][0] and got[k][1] > 0 for k, _ in texts)
 
 
-def test_license_score_equals_every_place():
-    rng, index = random.Random(5), LicenseIndex({})
-    for _ in range(60):
+def test_every_key_phrase_is_in_its_notice():
+    for _, template, keys in LicenseIndex({}).templates:
+        assert keys and all(any(template[i : i + len(key)] == key for i in range(len(template))) for key in keys)
+
+
+def test_license_scan_equals_every_place():
+    """Whatever words are rare: a label for each key phrase that stands, and the best share of a notice laid out around one."""
+    rng = random.Random(5)
+    every = vocabulary()
+    for _ in range(120):
+        index = LicenseIndex({b"": 1000, **{w: rng.choice([0, 3, 500, 1000]) for w in every}})
         words = []
         for _ in range(6):
             _, template, keys = rng.choice(index.templates)
-            words += rng.choice([template, rng.choice(keys), template[: rng.randint(1, len(template))], [w for w in template if rng.random() < 0.8]])
+            words += rng.choice([template, rng.choice(keys), template[: rng.randint(1, len(template))], [w for w in template if rng.random() < 0.8], [rng.choice(every), b"other"]])
         labels, best = set(), 0.0
         for label, template, keys in index.templates:
-            for start in range(-len(template), len(words)):
-                there = words[max(0, start) : max(0, start + len(template))]
-                if any(there[i : i + len(key)] == key for key in keys for i in range(len(there) - len(key) + 1)):
-                    labels.add(label)
-                    best = max(best, sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template))
+            for key in keys:
+                for inside in (i for i in range(len(template)) if template[i : i + len(key)] == key):
+                    for at in (i for i in range(len(words)) if words[i : i + len(key)] == key):
+                        start = at - inside
+                        labels.add(label)
+                        best = max(best, sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template)) / len(template))
         assert index.scan(words) == (labels, best)
 
 
+def test_license_scan_looks_up_rare_words_only():
+    """A common word of every notice, a million times, costs no postings."""
+    index = LicenseIndex({b"": 1000, b"license": 1000, b"the": 1000, b"of": 1000})
+    began = time.process_time()
+    assert index.scan([b"the", b"license", b"of"] * 300_000 + b"released under the mit license".split()) == ({"mit"}, 1.0)
+    assert index.looked_up < 200 and time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "notice, label",
+    [
+        ("BSD 3-Clause License", "bsd-3-clause"),
+        ("// SPDX-License-Identifier: Apache-2.0", "apache-2.0"),
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("under the GNU Affero General Public License version 3", "agpl"),
+        ("available under the terms of the Eclipse Public License v2.0", "epl"),
+        ("you may copy it under GPL version 2 only", "gpl-2.0"),
+        ("modify it under its terms, either version 3 of the License, or (at your option) any later version", "gpl"),
+        ("the Mozilla Public Licence, v. 2.0", "mpl"),
+        ("Creative Commons Attribution-Share Alike 4.0", "cc-by-sa"),
+    ],
+)
+def test_license_names(spark, notice, label):
+    got = license_scan(spark.createDataFrame([(None, f"some words before\n{notice} and after")], "doc_id long, text string")).first()
+    assert label in got.labels.split(",") and got.score > 0 and got.doc_id is None
+
+
 def test_maps_of_empty_tables(empty, byte_path, word_path):
     for df in (media.texts_as_media(empty), bpe_round_trip(empty, byte_path), license_scan(empty), best_fit_packing(empty, word_path)):
         assert df.count() == 0
