@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import exchange
@@ -315,9 +315,11 @@ def branch_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.delete_branch(branched(spark, sf_dir), "work").select("filePath", "fileHash")
 
 
-@query("SELECT 'near' AS branch")
+@query("SELECT branch FROM (SELECT source AS branch, count(*) % 5 AS commits FROM documents WHERE source IS NOT NULL GROUP BY source) ORDER BY commits, branch LIMIT 1")
 def bootstrap_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.nearest_branch(spark.createDataFrame([("far", 9), ("near", 2), ("other", 2)], "branch string, commits int"))
+    """Sources as branches, as many commits away as their documents leave by five."""
+    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("branch")).agg((F.count("*") % 5).alias("commits"))
+    return changes.nearest_branch(rows)
 
 
 @query(f"SELECT filePath FROM {_FILES} f WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id AND l.quality = 0)")
@@ -416,28 +418,39 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
-_MODELS = {"openai:nomic-embed-text": "nomic-embed-text", "ollama:nomic-embed-text:Q4_K_M": "nomic-embed-text", "lmstudio:bge-large-en:fp16": "bge-large-en", "openai:text-embedding-3-small": "text-embedding-3-small", "x:a:b": "a:b", "x:a:Latest": "a", "plain": "plain", "x:a:q8_0": "a"}
-_DURATIONS = {"10m": 600_000, "2h": 7_200_000, "1d": 86_400_000, "45s": 45_000, "3  m": 180_000}
+def of_place(key: str, *values: str) -> Column:
+    """One of some strings by a number, in turn."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col(key), F.lit(len(values))) + 1).cast("int"))
 
 
-def _values(pairs: dict, names: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(repr(x) for x in pair)})" for pair in pairs.items()) + f") t({names})"
+def _in_turn(key: str, *values: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][{key} % {len(values)} + 1]"
 
 
-@query(_values(_MODELS, "model, family"))
+_PROVIDERS, _TAGS = ("", "openai:", "ollama:"), ("", ":latest", ":Q4_K_M", ":v2", ":GGUF", ":fp16", ":q8_0")
+_MODELS = f"(SELECT doc_id, p || n || t AS model, CASE WHEN p = '' AND t = '' THEN n WHEN p = '' THEN substr(t, 2) WHEN t IN ('', ':v2') THEN n || t ELSE n END AS family FROM (SELECT doc_id, {_in_turn('doc_id', *_PROVIDERS)} AS p, source || '-' || lang AS n, {_in_turn('doc_id', *_TAGS)} AS t FROM documents))"
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model name for each document: with or without a provider and a tag."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(of_place("doc_id", *_PROVIDERS), "source", F.lit("-"), "lang", of_place("doc_id", *_TAGS)).alias("model"))
+
+
+@query(f"SELECT doc_id, model, family FROM {_MODELS}")
 def model_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in _MODELS], "model string").select("model", T.model_family(F.col("model")).alias("family"))
+    return models(spark, sf_dir).select("doc_id", "model", T.model_family(F.col("model")).alias("family"))
 
 
-@query(_values(_MODELS, "model, family") + " WHERE family = 'nomic-embed-text'")
+@query(f"SELECT doc_id, model FROM {_MODELS} WHERE family = 'src1-en'")
 def compatible_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = changes.same_family(spark.createDataFrame([(m,) for m in _MODELS], "model string"), F.lit("other:nomic-embed-text:gguf"))
-    return rows.select("model", T.model_family(F.col("model")).alias("family"))
+    return changes.same_family(models(spark, sf_dir), F.lit("other:src1-en:gguf"))
 
 
-@query(f"SELECT duration, CAST(ms AS BIGINT) AS ms FROM ({_values(_DURATIONS, 'duration, ms')})")
+@query(f"SELECT doc_id, n_chars % 90 || {_in_turn('doc_id', '', ' ', '  ')} || u AS duration, CAST(n_chars % 90 * CASE u WHEN 's' THEN 1000 WHEN 'm' THEN 60000 WHEN 'h' THEN 3600000 ELSE 86400000 END AS BIGINT) AS ms FROM (SELECT *, {_in_turn('doc_id', 's', 'm', 'h', 'd')} AS u FROM documents)")
 def duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in _DURATIONS], "duration string").select("duration", T.duration_ms(F.col("duration")).alias("ms"))
+    """A duration for each document: its length by ninety, in one of four units."""
+    text = F.concat((F.col("n_chars") % 90).cast("string"), of_place("doc_id", "", " ", "  "), of_place("doc_id", "s", "m", "h", "d"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("duration")).select("doc_id", "duration", T.duration_ms(F.col("duration")).alias("ms"))
 
 
 @query("SELECT page_id, regexp_extract(url, '[^/](\\.[^./]*)$', 1) AS ext, CASE WHEN contains(url, '.') THEN regexp_extract(url, '(\\.[^.]*)$', 1) ELSE right(url, 1) END AS tail FROM pages")
@@ -451,16 +464,18 @@ def result_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.location(F.col("source"), F.col("doc_id"), F.col("n_chars"), F.col("lang"), F.lit("d")).alias("location"), T.fixed_score(F.col("doc_id") / 7.0).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('http://localhost:11434/v1', true), ('http://127.0.0.1/x', true), ('https://api.example.com', false), ('nonsense', false)) t(url, local)")
+@query("SELECT page_id, page_id % 5 IN (0, 1, 3) AS local FROM pages")
 def local_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = ["http://localhost:11434/v1", "http://127.0.0.1/x", "https://api.example.com", "nonsense"]
-    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", T.is_local_url(F.col("url")).alias("local"))
+    """Pages as services: most at a host of their own made local, some as they are, some no URL at all."""
+    host = of_place("page_id", "http://localhost:11434/", "http://127.0.0.1/", "nonsense ", "http://[::1]:80/", "")
+    return table(spark, sf_dir, "pages").select("page_id", T.is_local_url(F.concat(host, F.when(F.col("page_id") % 5 == 4, F.col("url")).otherwise(F.col("page_id").cast("string")))).alias("local"))
 
 
-@query("SELECT * FROM (VALUES ('tessera-mcp', 'x', 'mcp'), ('node', 'run mcp', 'mcp'), ('node', 'run serve', 'serve'), ('node', 'run', 'cli')) t(name, command, kind)")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 4 = 1 THEN 'mcp' WHEN doc_id % 4 = 2 THEN 'serve' ELSE 'cli' END AS kind FROM documents")
 def process_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("tessera-mcp", "x"), ("node", "run mcp"), ("node", "run serve"), ("node", "run")], "name string, command string")
-    return rows.select("name", "command", T.process_kind(F.col("name"), F.col("command")).alias("kind"))
+    """A process for each document: its name and command line."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", of_place("doc_id", "tessera-mcp", *["node"] * 6).alias("name"), F.concat("source", of_place("doc_id", " run", " run mcp", " run serve", " index")).alias("command"))
+    return rows.select("doc_id", T.process_kind(F.col("name"), F.col("command")).alias("kind"))
 
 
 @query("SELECT doc_id, lang || ' , ' || source AS list, len(string_split(lang || ',' || source, ',')) AS n, lang || '|' || source AS items FROM documents")
@@ -511,20 +526,26 @@ def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KINDS = {"class_definition": ("definition", "class"), "impl_item": ("implementation", "impl"), "export_statement": ("orchestration", "export_statement"), "ContainerDecl": ("definition", "container"), "pair": ("implementation", "pair")}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(repr((k, *v)) for k, v in _KINDS.items()) + ") t(type, role, scope)")
+@query("SELECT doc_id, type, role, scope FROM documents JOIN (VALUES " + ", ".join(repr((n, k, *v)) for n, (k, v) in enumerate(_KINDS.items())) + f") t(n, type, role, scope) ON doc_id % {len(_KINDS)} = n")
 def roles_and_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in _KINDS], "type string").select("type", T.role(F.col("type")).alias("role"), T.scope_kind(F.col("type")).alias("scope"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", of_place("doc_id", *_KINDS).alias("type"))
+    return rows.select("doc_id", "type", T.role(F.col("type")).alias("role"), T.scope_kind(F.col("type")).alias("scope"))
+
+
+_ENDS = {".py": "python", ".tsx": "tsx", ".hpp": "cpp", ".sql": None, "": None}
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'python'), ('b.tsx', 'tsx'), ('c.hpp', 'cpp'), ('d.sql', NULL), ('e', NULL)) t(filePath, language)")
+@query("SELECT doc_id, source || '/' || doc_id || e AS filePath, language FROM documents JOIN (VALUES " + ", ".join(f"({n}, {e!r}, {'NULL' if x is None else repr(x)})" for n, (e, x) in enumerate(_ENDS.items())) + f") t(n, e, language) ON doc_id % {len(_ENDS)} = n")
 def language_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in ("a.py", "b.tsx", "c.hpp", "d.sql", "e")], "filePath string").select("filePath", T.language(F.col("filePath")).alias("language"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", of_place("doc_id", *_ENDS)).alias("filePath"))
+    return rows.select("doc_id", "filePath", T.language(F.col("filePath")).alias("language"))
 
 
-@query("SELECT * FROM (VALUES ('tesseraamber0123456789', true), ('tessera0123456789', false), ('amber0123456789', false)) t(code, valid)")
+@query(f"SELECT doc_id, {_in_turn('doc_id', 'tesseraamber', 'tessera', 'amber', 'tesseraAmber')} || substr(sha256(text), 1, 10) AS code, doc_id % 4 = 0 AS valid FROM documents")
 def share_code_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = ("tesseraamber0123456789", "tessera0123456789", "amber0123456789")
-    return spark.createDataFrame([(c,) for c in codes], "code string").select("code", secrets.is_share_code(F.col("code")).alias("valid"))
+    """A code for each document: a quarter of them well formed."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(of_place("doc_id", "tesseraamber", "tessera", "amber", "tesseraAmber"), F.substring(F.sha2("text", 256), 1, 10)).alias("code"))
+    return rows.select("doc_id", "code", secrets.is_share_code(F.col("code")).alias("valid"))
 
 
 @query(f"WITH c AS (SELECT id, lang FROM {_CHUNKS}) SELECT id FROM c WHERE lang IN ('en', 'de') UNION SELECT id FROM c WHERE lang IN ('de', 'fr')")
