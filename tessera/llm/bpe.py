@@ -13,7 +13,8 @@ spaces stand in a row or two end a text. Such texts, those with special tokens o
 with code points beyond U+0557, where Unicode tables of different years disagree,
 are encoded one by one, the latter cut by the tokenizer file's own splitter.
 
-Defined results: a null or empty text has no tokens, and decodes to "".
+Defined results: a null or empty text has no tokens, and decodes to ""; a null
+doc_id stays null, and rows that repeat are encoded each; other columns play no part.
 """
 
 from __future__ import annotations

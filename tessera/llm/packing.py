@@ -201,7 +201,8 @@ def packed(rows: DataFrame, sequence: int = SEQUENCE, open_bins: int = OPEN_BINS
         bins, offsets = best_fit(table.column("length").to_pylist(), sequence, open_bins)
         return table.append_column("sequence_id", pa.array(np.array(bins, np.int64) + (key[0].as_py() << 32))).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    # Rows that repeat are dealt apart by their place; it is the same each time, as the pieces are stored.
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     return dealt.select("group", *rows.columns).groupBy("group").applyInArrow(of_group, schema)
 
 
