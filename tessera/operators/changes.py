@@ -39,6 +39,11 @@ def new_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
     return chunks.join(stored.select("hash").distinct(), "hash", "left_anti")
 
 
+def elsewhere(paths: DataFrame, manifest: DataFrame, branch: str) -> DataFrame:
+    """The manifest rows that other branches have of the paths."""
+    return manifest.where(F.col("branch") != branch).join(paths.select("filePath").distinct(), "filePath", "left_semi")
+
+
 def unreferenced(paths: DataFrame, manifest: DataFrame, branch: str) -> DataFrame:
     """Paths that no other branch has."""
     return paths.join(manifest.where(F.col("branch") != branch).select("filePath").distinct(), "filePath", "left_anti")
@@ -91,9 +96,14 @@ def nearest_branch(distances: DataFrame) -> DataFrame:
     return distances.agg(F.min(F.struct("commits", "branch"))["branch"].alias("branch"))
 
 
+def indexed_paths(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
+    """All paths that an index knows of."""
+    return chunks.select("filePath").union(manifest.select("filePath")).distinct()
+
+
 def orphans(chunks: DataFrame, manifest: DataFrame, disk: DataFrame) -> DataFrame:
     """Indexed paths that are gone."""
-    return chunks.select("filePath").union(manifest.select("filePath")).distinct().join(disk.select("filePath"), "filePath", "left_anti")
+    return indexed_paths(chunks, manifest).join(disk.select("filePath"), "filePath", "left_anti")
 
 
 def stale(manifest: DataFrame, disk: DataFrame, branch: str) -> DataFrame:

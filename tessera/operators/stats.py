@@ -13,6 +13,17 @@ def index_stats(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(counted, how="cross").select("files", "chunks", "unique_hashes", (F.col("chunks") - F.col("unique_hashes")).alias("duplicates"))
 
 
+def hashes(chunks: DataFrame) -> DataFrame:
+    """The distinct chunk hashes."""
+    return chunks.select("hash").distinct()
+
+
+def repeats(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, hashes, and chunks beyond the first of each hash."""
+    n, distinct = F.count("*"), F.countDistinct("hash")
+    return chunks.agg(n.alias("chunks"), distinct.alias("hashes"), (n - distinct).alias("repeats"))
+
+
 def hashes_by_file(chunks: DataFrame) -> DataFrame:
     """A file's chunk hashes in order, joined by commas; a file is one row, as large as its chunks."""
     return chunks.groupBy("filePath").agg(F.array_join(F.sort_array(F.collect_list("hash")), ",").alias("hashes"), F.count("*").alias("chunks"))

@@ -92,8 +92,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT vec_id, label, {_SCORE} FROM ({_top('label = 4', k=25)})")
 def knn_type_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir)
-    return ranked(knn.top_k(rows.where("label = 4"), vector_of(rows, PROBE), 25), "label")
+    return ranked(asked(spark, sf_dir, SearchOptions(25, type=["4"])), "label")
 
 
 @query(f"SELECT vec_id, label, {_SCORE} FROM ({_top(distance='1 - ' + _DOT.format(a='embedding', b='p') + ' / sqrt(' + _DOT.format(a='p', b='p') + ' * ' + _DOT.format(a='embedding', b='embedding') + ')')})")
@@ -216,8 +215,7 @@ def known_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS chunks, count(DISTINCT hash) AS hashes, count(*) - count(DISTINCT hash) AS repeats FROM {_CHUNKS}")
 def intra_batch_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, d = F.count("*"), F.countDistinct("hash")
-    return chunks(spark, sf_dir).agg(n.alias("chunks"), d.alias("hashes"), (n - d).alias("repeats"))
+    return stats.repeats(chunks(spark, sf_dir))
 
 
 # ---- change detection, maintenance, repair -----------------------------------------------------------------------
@@ -355,7 +353,7 @@ def branch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT hash FROM {_CHUNKS}")
 def distinct_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("hash").distinct()
+    return stats.hashes(chunks(spark, sf_dir))
 
 
 @query(f"SELECT filePath, min(startLine) AS rank FROM {_CHUNKS} GROUP BY filePath")
@@ -499,12 +497,12 @@ def null_branch_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT filePath, fileHash FROM {_BRANCHED} WHERE branch <> 'main' AND filePath IN (SELECT filePath FROM {_NOW})")
 def other_branches_have(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return branched(spark, sf_dir).where("branch <> 'main'").join(now(spark, sf_dir).select("filePath"), "filePath", "left_semi").select("filePath", "fileHash")
+    return changes.elsewhere(now(spark, sf_dir), branched(spark, sf_dir), "main").select("filePath", "fileHash")
 
 
 @query(f"SELECT filePath FROM {_CHUNKS} UNION SELECT filePath FROM {_THEN}")
 def union_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select("filePath").union(then(spark, sf_dir).select("filePath")).distinct()
+    return changes.indexed_paths(chunks(spark, sf_dir), then(spark, sf_dir))
 
 
 @query("SELECT CAST(max(len(embedding)) AS INTEGER) AS dimensions FROM embeddings")
