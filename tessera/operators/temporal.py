@@ -11,7 +11,7 @@ holds many rows is a partition of the join that adaptive execution splits; the j
 
 Defined results: null keys or times match nothing, their events stay with null columns; of versions of equal time the one
 with the greatest columns counts, in their order, null smallest; at the time of a version it is valid; rows that repeat are
-rows of their own; an interval whose end is before its start, or with a null end, overlaps nothing.
+rows of their own; an event's column named as one that comes is replaced by it; an interval whose end is before its start, or with a null end, overlaps nothing.
 """
 
 from __future__ import annotations
@@ -42,9 +42,11 @@ def valid_at(events: DataFrame, versions: DataFrame, key: str, at: str, columns:
     lasts = carried.groupBy("part").agg(F.max(F.when(F.col("version").isNotNull(), F.struct("key", "version"))).alias("last"))
     before = lasts.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     fits = F.when(F.col("before.key") == F.col("key"), F.col("before.version"))
-    found = carried.where("event IS NOT NULL").join(F.broadcast(before), "part", "left").select("event.*", F.coalesce("version", fits).alias("version"))  # one row a partition
-    lone = events.where(~dated).withColumn("version", F.lit(None).cast(kind))
-    return found.unionByName(lone).select(*events.columns, *[F.col(f"version.{c}").alias(c) for c in columns], F.col("version.valid_from").alias("valid_from"))
+    found = carried.where("event IS NOT NULL").join(F.broadcast(before), "part", "left").select("event", F.coalesce("version", fits).alias("version"))  # one row a partition
+    lone = events.where(~dated).select(row.alias("event"), F.lit(None).cast(kind).alias("version"))
+    new = [*columns, "valid_from"]
+    own = [F.col(f"event.`{c}`").alias(c) for c in events.columns if c not in new]
+    return found.unionByName(lone).select(*own, *[F.col(f"version.`{c}`").alias(c) for c in new])
 
 
 def _carried(rows: DataFrame) -> DataFrame:

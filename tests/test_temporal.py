@@ -50,6 +50,12 @@ def test_versions_carry_over_partitions_without_any(spark):
     assert found.where("key = 'next' AND name IS NULL").count() == 200
 
 
+def test_versions_replace_columns_of_equal_names(spark):
+    events = spark.createDataFrame([("a", 5, "old", 1, 2)], "key string, at long, name string, version long, valid_from long")
+    found = valid_at(events, spark.createDataFrame([("a", 3, "new")], "key string, at long, name string"), "key", "at", ["name"])
+    assert found.columns == ["key", "at", "version", "name", "valid_from"] and [tuple(r) for r in found.collect()] == [("a", 5, 1, "new", 3)]
+
+
 def test_versions_of_empty_sides(spark):
     assert versions_of(spark, [], [("a", 1, "x", 1, "e")]).collect() == []
     assert [tuple(r) for r in versions_of(spark, [("a", 1, 2)], []).collect()] == [("a", 1, 2, None, None, None)]
