@@ -13,7 +13,8 @@ the input, whatever the keys. The joins on (key, time) are sort-merge joins, who
 
 Defined results: a null key or time never matches; unmatched rows stay, with nulls and ``n_tied`` 0; of rows at one time the
 larger tie keys win, in their order, and null loses; left rows that repeat are answered one by one; other columns of both
-sides play no part and may have any names; empty sides give no matches or no rows.
+sides play no part and may have any names (a left column named as one that comes is replaced by it); empty sides give no
+matches or no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +98,9 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, tolerance: i
     answers = answers.select(F.struct("key", "at").alias("answer_key"), "matched_at", *[F.col(f"best.p{k}").alias(f"p{k}") for k in range(len(payload))], "n_tied")
     rows = left.select(F.struct(*left.columns).alias("left"), F.col(key).alias("key"), F.col(at).alias("at"))
     joined = rows.join(answers.hint("merge"), (F.col("key") == F.col("answer_key.key")) & (F.col("at") == F.col("answer_key.at")), "left")
-    return joined.select("left.*", "matched_at", *[F.col(f"p{k}").alias(c) for k, c in enumerate(payload)], F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
+    new = {"matched_at", "n_tied", *payload}
+    own = [F.col(f"left.`{c}`").alias(c) for c in left.columns if c not in new]
+    return joined.select(*own, "matched_at", *[F.col(f"p{k}").alias(c) for k, c in enumerate(payload)], F.coalesce("n_tied", F.lit(0)).alias("n_tied"))
 
 
 def _used(time: Column, hashed: Column) -> Column:

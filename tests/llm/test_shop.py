@@ -78,6 +78,13 @@ def test_asof_of_empty_sides(spark):
     assert {(r.matched_at, r.name, r.n_tied) for r in joined(spark, left, [], 5).collect()} == {(None, None, 0)}
 
 
+def test_asof_replaces_columns_of_equal_names(spark):
+    a = spark.createDataFrame([("a", 5, 1, "x", 2, 3)], "key string, at long, matched_at long, name string, n_tied long, `left` long")
+    b = spark.createDataFrame([("a", 3, "y", 1)], "key string, at long, name string, `left` long")
+    out = asof_join(a, b, "key", "at", 10, [F.col("name")], ["name"])
+    assert out.columns == ["key", "at", "left", "matched_at", "name", "n_tied"] and [tuple(r) for r in out.collect()] == [("a", 5, 3, 3, "y", 1)]
+
+
 def test_asof_plan_sends_nothing_whole(spark):
     left, right = sides(random.Random(2), 200, 500, ["hot", "a"])
     plan = joined(spark, left, right, 5)._jdf.queryExecution().executedPlan().toString()
