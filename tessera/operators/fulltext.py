@@ -2,8 +2,9 @@
 
 Building: each task turns its rows into segments of at most ``SEGMENT_DOCS`` documents (and about ``SEGMENT_WORDS`` words),
 so texts aren't shuffled. For each term of a segment there is one row of postings: document ordinals as differences and
-term frequencies, each at the least width that fits, in blocks of ``BLOCK`` postings with the greatest frequency and the
-least length of each block; positions are a column of their own, which only phrase queries read. Rows are written in the
+term frequencies, in bytes of seven bits, in blocks of ``BLOCK`` postings with the greatest frequency and the least length of
+each block; positions are a column of their own, which only phrase queries read. A segment's rows are made by array
+operations over all its terms at once, as most terms are in few documents. Rows are written in the
 order of terms within ranges, so that a search for some terms skips most row groups. A term that all documents have has one row
 a segment, and is spread over as many files as its bytes need.
 
@@ -26,7 +27,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,11 @@ from ..sources.snapshots import Folder
 from .knn import arrow_type
 
 #: Bounds of a segment; postings of a block.
-SEGMENT_DOCS, SEGMENT_WORDS, BLOCK = 65_536, 4_000_000, 128
-#: Queries that are sent to every task at once.
-MOST_QUERIES = 4_096
+SEGMENT_DOCS, SEGMENT_WORDS, BLOCK = 65_536, 2_000_000, 128
+#: Queries, and words of them, that are sent to every task at once.
+MOST_QUERIES, MOST_WORDS = 4_096, 400_000
 K1, B = 1.2, 0.75
 _BETWEEN = r"[\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]+"
-_WIDTHS = (np.uint8, np.uint16, np.uint32)
 
 
 def words_of(texts: pa.Array) -> pa.ListArray:
@@ -51,73 +50,119 @@ def words_of(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), pattern=_BETWEEN)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """One byte for the width, then the values."""
-    width = 0 if not len(values) or values.max() < 1 << 8 else 1 if values.max() < 1 << 16 else 2
-    return bytes([width]) + values.astype(_WIDTHS[width]).tobytes()
+def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2^35 as bytes of seven bits, the last of each below 128; and where each number's bytes end."""
+    size = 1 + sum((values >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        long = size > k
+        if not long.any():
+            break
+        out[(ends - size)[long] + k] = values[long] >> 7 * k & 127 | np.where(size[long] > k + 1, 128, 0)
+    return out, ends
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    size, out = ends - starts + 1, (raw[starts] & 127).astype(np.int64)
+    for k in range(1, 5):
+        long = size > k
+        if not long.any():
+            break
+        out[long] |= (raw[starts[long] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Pieces of some bytes, by where they end."""
+    edges = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    changed = np.zeros(len(keys[0]), bool)
+    changed[:1] = True
+    for k in keys:
+        changed[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(changed)
+
+
+def encoded(of_term: np.ndarray, docs: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(heads, blocks) of each term, from its sorted postings. A block's head: first ordinal, last less first, greatest tf, least length, bytes."""
+    term_at = _starts(of_term)
+    size = np.diff(term_at, append=len(docs))
+    place = np.arange(len(docs)) - np.repeat(term_at, size)
+    block_at = np.flatnonzero(place % BLOCK == 0)
+    gaps = np.diff(docs, prepend=0)
+    gaps[block_at] = 0
+    data, ends = pack(np.stack([gaps, tf], axis=1).ravel())
+    ends = ends[1::2]  # of each posting
+    last = np.append(block_at[1:], len(docs)) - 1
+    heads = np.stack([docs[block_at], docs[last] - docs[block_at], np.maximum.reduceat(tf, block_at), np.minimum.reduceat(lengths[docs], block_at), np.diff(ends[last], prepend=0)], axis=1)
+    head_data, head_ends = pack(heads.ravel())
+    blocks = np.cumsum(-(-size // BLOCK))
+    return _binary(head_data, head_ends[5 * blocks - 1]), _binary(data, ends[term_at + size - 1])
 
 
-def unpack(data: bytes, start: int = 0, end: int | None = None) -> np.ndarray:
-    return np.frombuffer(data[start + 1 : end], _WIDTHS[data[start]]).astype(np.int64)
-
-
-@dataclass
 class Postings:
     """A term's postings in one segment. heads: for each block first and last ordinal, greatest tf, least length, end of its bytes."""
 
-    heads: np.ndarray
-    blocks: bytes
-
-    @classmethod
-    def of(cls, docs: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> Postings:
-        heads, out = [], bytearray()
-        for a in range(0, len(docs), BLOCK):
-            d, f = docs[a : a + BLOCK], tf[a : a + BLOCK]
-            gaps = pack(np.diff(d))
-            out += bytes([len(gaps) & 255, len(gaps) >> 8]) + gaps + pack(f)
-            heads.append((d[0], d[-1], f.max(), lengths[d].min(), len(out)))
-        return cls(np.array(heads, np.int64), bytes(out))
-
-    def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ordinals, frequencies) of a block."""
-        start, end = (self.heads[k - 1, 4] if k else 0), self.heads[k, 4]
-        cut = start + 2 + self.blocks[start] + (self.blocks[start + 1] << 8)
-        gaps = unpack(self.blocks, start + 2, cut)
-        return self.heads[k, 0] + np.concatenate([[0], np.cumsum(gaps)]), unpack(self.blocks, cut, end)
+    def __init__(self, heads: bytes, blocks: bytes):
+        self.heads, self.blocks = unpack(heads).reshape(-1, 5), blocks
+        self.heads[:, 1] += self.heads[:, 0]
+        self.heads[:, 4] = np.cumsum(self.heads[:, 4])
+        self.held: tuple[np.ndarray, np.ndarray] | None = None
 
     def some(self, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.block(k) for k in ks]
-        return (np.concatenate([d for d, _ in found]), np.concatenate([f for _, f in found])) if found else (np.empty(0, np.int64),) * 2
-
-
-def _segment(ids: list[pa.Array], words: list[pa.Array], counts: np.ndarray) -> Iterator[dict]:
+        """(ordinals, frequencies) of some blocks."""
+        ends = self.heads[:, 4]
+        pairs = unpack(b"".join(self.blocks[(ends[k - 1] if k else 0) : ends[k]] for k in ks.tolist())).reshape(-1, 2)
+        at = np.minimum(np.arange(len(ks)) * BLOCK, len(pairs))  # only a term's last block isn't full
+        size = np.diff(at, append=len(pairs))
+        run = np.cumsum(pairs[:, 0])
+        return run + np.repeat(self.heads[ks, 0] - run[at], size) if len(ks) else run, pairs[:, 1]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """All of them; kept for the segment's other queries."""
+        if self.held is None:
+            self.held = self.some(np.arange(len(self.heads)))
+        return self.held
+
+
+def _segment(ids: list[pa.Array], words: list[pa.Array], counts: np.ndarray, name: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """The rows of one segment: its documents under the empty term, then its terms."""
-    flat = pa.chunked_array(words, pa.string()).combine_chunks()
-    coded = (flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat).dictionary_encode()
+    lengths, _ = pack(counts)
+    yield pa.RecordBatch.from_pylist([{"segment": name, "term": "", "docs": len(counts), "words": int(counts.sum()), "lengths": lengths.tobytes(), "ids": pa.concat_arrays(ids).to_pylist()}], schema)
+    coded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    position = np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(code):
+        return
     order = np.argsort(code, kind="stable")
-    code, doc, position = code[order], doc[order], position[order]
-    yield {"term": "", "docs": len(counts), "heads": None, "blocks": None, "positions": pack(counts), "ids": pa.concat_arrays(ids).to_pylist()}
-    pair = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(doc, prepend=-1))  # where a (term, document) begins
-    tf, of_term = np.diff(pair, append=len(code)), code[pair]
-    first = np.flatnonzero(np.diff(of_term, prepend=-1))
-    ends = np.append(first[1:], len(pair))
-    terms = coded.dictionary
-    for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-        held = Postings.of(doc[pair[a:b]], tf[a:b], counts)
-        at = position[pair[a] : pair[b] if b < len(pair) else len(code)]
-        step = np.diff(at, prepend=0)
-        step[pair[a:b] - pair[a]] = at[pair[a:b] - pair[a]]  # a document's first position stands as it is
-        yield {"term": terms[int(of_term[a])].as_py(), "docs": b - a, "heads": held.heads.tobytes(), "blocks": held.blocks, "positions": pack(step), "ids": None}
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+    position = (np.arange(len(code)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)[order]
+    code = code[order]
+    pair = _starts(code, doc)
+    tf, of_term, docs = np.diff(pair, append=len(code)), code[pair], doc[pair].astype(np.int64)
+    heads, blocks = encoded(of_term, docs, tf, counts)
+    steps = np.diff(position, prepend=np.int32(0))
+    steps[pair] = position[pair]  # a document's first position stands as it is
+    step_data, step_ends = pack(steps.astype(np.int64))
+    at, n = _starts(of_term), len(heads)
+    columns = [pa.array([name]).take(pa.array(np.zeros(n, np.int32))), coded.dictionary.take(pa.array(of_term[at])), pa.array(np.diff(at, append=len(pair))), pa.nulls(n, pa.int64()), heads, blocks, _binary(step_data, step_ends[np.append(pair[at[1:]], len(code)) - 1]), pa.nulls(n, pa.binary()), pa.nulls(n, schema.field("ids").type)]
+    whole = pa.RecordBatch.from_arrays(columns, schema=schema)
+    for a in range(0, n, 16_384):
+        yield whole.slice(a, 16_384)
 
 
 def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(segment, term, docs, heads, blocks, positions, ids) of all terms; one row a segment with the empty term holds its ids and lengths."""
+    """(segment, term, docs, heads, blocks, positions) of all terms; one row a segment with the empty term holds its words, lengths and ids."""
     kind = docs.schema[key].dataType.simpleString()
     id_type = arrow_type(docs, key)
-    schema = pa.schema([("segment", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("heads", pa.binary()), ("blocks", pa.binary()), ("positions", pa.binary()), ("ids", pa.list_(id_type))])
+    schema = pa.schema([("segment", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("words", pa.int64()), ("heads", pa.binary()), ("blocks", pa.binary()), ("positions", pa.binary()), ("lengths", pa.binary()), ("ids", pa.list_(id_type))])
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[pa.Array] = []
@@ -127,14 +172,7 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made
-            rows = []
-            for row in _segment(ids, words, np.concatenate(counts)):
-                rows.append(row | {"segment": f"{part:06d}-{made:04d}"})
-                if len(rows) == 4096:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            yield from _segment(ids, words, np.concatenate(counts), f"{part:06d}-{made:04d}", schema)
             made += 1
             ids.clear(), words.clear(), counts.clear()
 
@@ -155,7 +193,7 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield from flush()
 
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.spark_partition_id().alias("part"))
-    return source.mapInArrow(of_task, f"segment string, term string, docs long, heads binary, blocks binary, positions binary, ids array<{kind}>")
+    return source.mapInArrow(of_task, f"segment string, term string, docs long, words long, heads binary, blocks binary, positions binary, lengths binary, ids array<{kind}>")
 
 
 @dataclass
@@ -203,7 +241,7 @@ def score_segment(terms: list[_Term], lengths: np.ndarray, mean: float, floor: f
     total = np.zeros(len(lengths))
     hit = np.zeros(len(lengths), bool)
     for t in terms[essential:]:
-        docs, tf = t.held.some(np.arange(len(t.held.heads)))
+        docs, tf = t.held.whole()
         total[docs] += t.weight * _saturated(tf, lengths[docs], mean)
         hit[docs] = True
         if seen is not None:
@@ -241,48 +279,55 @@ class TextIndex:
         self.add(docs, key, text)
         return self
 
-    def add(self, docs: DataFrame, key: str = "id", text: str = "text") -> None:
-        """More documents, as segments of their own; readers see them once the pointer file names them."""
+    def add(self, docs: DataFrame, key: str = "id", text: str = "text", **noted: object) -> None:
+        """More documents, as segments of their own; readers see them once the pointer file names them. noted: goes into it beside."""
         version = max(self.meta["versions"], default=0) + 1
         rows = segments(docs, key, text).withColumn("range", F.pmod(F.xxhash64("term"), F.lit(64)))
         rows.hint("rebalance", "range").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.folder.path}/v={version}")
         self.meta["versions"].append(version)
+        self.meta |= noted
         self.folder.write("CURRENT", json.dumps(self.meta))
 
+    def ids(self) -> DataFrame:
+        """(id) of all documents."""
+        return self.rows().where("term = ''").select(F.explode("ids").alias("id"))
+
     def rows(self) -> DataFrame:
         top = self.folder.path
         return self.spark.read.option("basePath", top).parquet(*(f"{top}/v={v}" for v in self.meta["versions"]))
 
-    def terms(self) -> DataFrame:
-        """(term, df): in how many documents each term is."""
-        return self.rows().where("term <> ''").groupBy("term").agg(F.sum("docs").alias("df"))
+    def terms(self, wanted: list[str] | None = None) -> DataFrame:
+        """(term, df): in how many documents each term is; wanted: of some terms."""
+        rows = self.rows().where("term <> ''") if wanted is None else self._of(wanted)
+        return rows.groupBy("term").agg(F.sum("docs").alias("df"))
 
     def size(self) -> tuple[int, float]:
         """Documents, and words a document."""
-        counted = self.rows().where("term = ''").select("docs", "positions")
-
-        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield pa.RecordBatch.from_pydict({"docs": batch["docs"], "words": pa.array([int(unpack(p).sum()) for p in batch["positions"].to_pylist()], pa.int64())})
-
-        n, total = counted.mapInArrow(words, "docs long, words long").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+        n, total = self.rows().where("term = ''").agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
         return n, total / n if n else 0.0
 
     def _asked(self, queries: DataFrame, query_key: str, text: str) -> Iterator[list[tuple]]:
         """Parts of the queries, each with the list of its words."""
-        asked = queries.select(F.col(query_key).alias("q"), F.col(text).alias("t")).toLocalIterator()
-        while held := [(r.q, [w for w in words_of(pa.array([r.t], pa.string()))[0].as_py() if w]) for r in islice(asked, MOST_QUERIES)]:
-            yield held
+        part, size = [], 0
+        for r in queries.select(F.col(query_key).alias("q"), F.col(text).alias("t")).toLocalIterator():
+            words = [w for w in words_of(pa.array([r.t], pa.string()))[0].as_py() if w]
+            if part and (len(part) >= MOST_QUERIES or size + len(words) > MOST_WORDS):
+                yield part
+                part, size = [], 0
+            part.append((r.q, words))
+            size += len(words)
+        if part:
+            yield part
+
+    def _of(self, terms: list[str]) -> DataFrame:
+        """The rows of some terms, those of one part of the queries: so they are few enough to be sent to every task."""
+        if len(terms) <= 8:  # the scan skips what has none of them
+            return self.rows().where(F.col("term").isin(*terms))
+        return self.rows().join(F.broadcast(self.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")
 
     def _segments_of(self, terms: list[str], *columns: str) -> DataFrame:
         """For each segment the rows of some terms that it has, its documents' row among them."""
-        rows = self.rows()
-        if len(terms) > 256:
-            wanted = self.spark.createDataFrame([(t,) for t in [*terms, ""]], "term string")  # those of MOST_QUERIES queries
-            rows = rows.join(wanted, "term", "left_semi")
-        else:
-            rows = rows.where(F.col("term").isin(*terms, ""))
-        return rows.groupBy("v", "segment").agg(F.collect_list(F.struct("term", "heads", "ids", *columns)).alias("held"))
+        return self._of([*terms, ""]).groupBy("v", "segment").agg(F.collect_list(F.struct("term", *columns)).alias("held"))
 
     def top_k(self, queries: DataFrame, k: int, query_key: str = "query_id", text: str = "text") -> DataFrame:
         """(query_id, id, score, rank) of the k best documents of each query by BM25."""
@@ -293,12 +338,11 @@ class TextIndex:
         found = self.spark.createDataFrame([], schema)
         for held in self._asked(queries, query_key, text):
             terms = sorted({w for _, ws in held for w in ws})
-            wanted = self.spark.createDataFrame([(t,) for t in terms], "term string")
-            df = {r.term: r.df for r in self.terms().join(F.broadcast(wanted), "term").collect()}  # one number a query term
+            df = {r.term: r.df for r in self.terms(terms).collect()}  # one number a query term
             weight = {t: float(np.log(1 + (n - d + 0.5) / (d + 0.5))) for t, d in df.items()}
             asked = [(q, sorted({w for w in ws if w in weight})) for q, ws in held]
             shared = self.spark.sparkContext.broadcast((asked, weight))
-            found = found.unionByName(self._segments_of(sorted(weight), "positions", "blocks").select("held").mapInArrow(_scorer(shared, types, mean, k), schema))
+            found = found.unionByName(self._segments_of(sorted(weight), "heads", "blocks", "lengths", "ids").select("held").mapInArrow(_scorer(shared, types, mean, k), schema))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id")))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -311,7 +355,7 @@ class TextIndex:
         for held in self._asked(queries, query_key, text):
             asked = [(q, ws) for q, ws in held if ws]
             shared = self.spark.sparkContext.broadcast(asked)
-            found = found.unionByName(self._segments_of(sorted({w for _, ws in asked for w in ws}), "blocks", "positions").select("held").mapInArrow(_phrases(shared, types), schema))
+            found = found.unionByName(self._segments_of(sorted({w for _, ws in asked for w in ws}), "heads", "blocks", "positions", "ids").select("held").mapInArrow(_phrases(shared, types), schema))
         return found
 
 
@@ -322,8 +366,8 @@ def _scorer(shared, types: tuple[pa.DataType, pa.DataType], mean: float, k: int)
         for batch in batches:
             for held in batch["held"]:
                 parts = {r["term"]: r for r in held.as_py()}
-                ids, lengths = np.array([*parts[""]["ids"], None], object)[:-1], unpack(parts[""]["positions"])
-                postings = {t: Postings(np.frombuffer(r["heads"], np.int64).reshape(-1, 5), r["blocks"]) for t, r in parts.items() if t}
+                ids, lengths = np.array([*parts[""]["ids"], None], object)[:-1], unpack(parts[""]["lengths"])
+                postings = {t: Postings(r["heads"], r["blocks"]) for t, r in parts.items() if t}
                 for j, (_, terms) in enumerate(asked):
                     have = [_Term(postings[t], weight[t]) for t in terms if t in postings]
                     if not have:
@@ -349,8 +393,7 @@ def _phrases(shared, types: tuple[pa.DataType, pa.DataType]):  # noqa: ANN001, A
                 def at(term: str) -> np.ndarray:
                     if term not in places:
                         row = parts[term]
-                        heads = np.frombuffer(row["heads"], np.int64).reshape(-1, 5)
-                        docs, tf = Postings(heads, row["blocks"]).some(np.arange(len(heads)))
+                        docs, tf = Postings(row["heads"], row["blocks"]).whole()
                         steps, starts = unpack(row["positions"]), np.cumsum(tf) - tf
                         run = np.cumsum(steps)
                         places[term] = np.repeat(docs, tf) * reach + run - np.repeat(run[starts] - steps[starts], tf)

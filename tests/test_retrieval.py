@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cells, fulltext, knn, neighbours, quantize
 from tessera.operators.cells import CellIndex, recall
-from tessera.operators.fulltext import Postings, TextIndex, _Term, pack, score_segment, unpack
+from tessera.operators.fulltext import Postings, TextIndex, _Term, encoded, pack, score_segment, unpack
 from tessera.operators.fusion import diversified, fused
 from tessera.operators.quantize import Codebook, quantised_top_k
 from tessera.operators.vectors import Nearest, exact, lloyd
@@ -297,8 +297,8 @@ def test_phrase_reads_positions_and_scoring_skips_blocks():
     rng = np.random.default_rng(1)
     lengths = rng.integers(10, 200, 20_000)
     rare, often = np.sort(rng.choice(20_000, 30, replace=False)), np.arange(20_000)
-    terms = lambda: [_Term(Postings.of(rare, np.full(30, 2), lengths), 6.0), _Term(Postings.of(often, rng.integers(1, 4, 20_000), lengths), 0.1)]
-    held = terms()
+    heads, blocks = encoded(np.repeat([0, 1], [30, 20_000]), np.concatenate([rare, often]), np.concatenate([np.full(30, 2), rng.integers(1, 4, 20_000)]), lengths)
+    held = [_Term(Postings(h, b), w) for h, b, w in zip(heads.to_pylist(), blocks.to_pylist(), (6.0, 0.1), strict=True)]
     every, score = score_segment(held, lengths, 100.0, -np.inf)
     assert len(every) == 20_000
     floor = np.sort(score)[-10]
@@ -311,18 +311,27 @@ def test_phrase_reads_positions_and_scoring_skips_blocks():
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 1 << 31), max_size=50))
+@given(st.lists(st.integers(0, (1 << 35) - 1), max_size=50))
 def test_packing_of_numbers(values):
-    x = np.array(values, np.int64)
-    assert unpack(pack(x)).tolist() == values and len(pack(x)) <= 1 + 4 * len(values)
+    data, ends = pack(np.array(values, np.int64))
+    assert unpack(data.tobytes()).tolist() == values and len(data) <= 5 * len(values)
+    assert [unpack(data[a:b].tobytes()).tolist() for a, b in zip([0, *ends[:-1]], ends)] == [[v] for v in values]
 
 
-def test_postings_round_trip():
-    docs = np.array([0, 3, 4, 300, 70_000, 70_001, 5_000_000])
-    tf = np.array([1, 300, 2, 1, 70_000, 1, 5])
-    held = Postings.of(docs, tf, np.ones(5_000_001, np.int64))
-    a, b = held.some(np.arange(len(held.heads)))
-    assert a.tolist() == docs.tolist() and b.tolist() == tf.tolist()
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 100_000), min_size=1, max_size=400, unique=True), min_size=1, max_size=5), st.randoms())
+def test_postings_round_trip(terms, rng):
+    docs = [np.sort(np.array(d)) for d in terms]
+    tf = [np.array([rng.choice([1, 2, 300, 70_000]) for _ in d]) for d in docs]
+    lengths = np.arange(100_001) % 977
+    heads, blocks = encoded(np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs), np.concatenate(tf), lengths)
+    for h, b, d, f in zip(heads.to_pylist(), blocks.to_pylist(), docs, tf, strict=True):
+        held = Postings(h, b)
+        assert [x.tolist() for x in held.whole()] == [d.tolist(), f.tolist()]
+        some = np.array(sorted(rng.sample(range(len(held.heads)), rng.randint(1, len(held.heads)))))
+        want = [k for k in range(len(d)) if k // fulltext.BLOCK in some]
+        assert [x.tolist() for x in held.some(some)] == [d[want].tolist(), f[want].tolist()]
+        assert held.heads[0, 3] == lengths[d[: fulltext.BLOCK]].min() and held.heads[-1, 1] == d[-1]
 
 
 # ---- fusion
