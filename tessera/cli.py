@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--since")
     p.add_argument("files", nargs="*")
     p = add("search")
+    p.add_argument("--mode", choices=("vector", "text", "hybrid"), default="vector")
     p.add_argument("query")
     p.add_argument("--limit", type=int, default=25)
     p.add_argument("--min-score", type=float)
@@ -105,7 +106,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         done = index.build(BuildOptions(o.reset, o.since, o.force, o.dry, o.files or None))
         print("\n".join(done.planned) if o.dry else f"{done.succeeded} chunks indexed, {done.failed} failed, {done.already_indexed} files known, {done.oversize} chunks too large, {done.deleted} files deleted")
     elif o.command == "search":
-        found = index.search(o.query, SearchOptions(o.limit, o.file_prefix, getattr(o, "not"), o.min_score, words(o.type), words(o.language), o.project, words(o.across)))
+        found = index.search(o.query, SearchOptions(o.limit, o.file_prefix, getattr(o, "not"), o.min_score, words(o.type), words(o.language), o.project, words(o.across), mode=o.mode))
         if o.json:
             print("[" + ",\n".join(as_json(found)) + "]")
         elif o.compact:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import time
 from collections.abc import Callable
@@ -16,11 +17,12 @@ from .functions.text import below
 from .operators import changes, stats
 from .operators.chunking import syntax_chunks
 from .operators.embedding import Embedder, embedder_for
+from .operators.fulltext import TextIndex
 from .plans.build import build
 from .plans.repair import repair
-from .plans.search import Target, search
+from .plans.search import Target, chunk_key, search, worded
 from .sources import files as source
-from .sources.snapshots import Store, Writing, indexes
+from .sources.snapshots import LockedError, Store, Writing, indexes
 from .types import BuildOptions, BuildResult, RepairResult, SearchOptions
 
 
@@ -79,14 +81,40 @@ class Index:
         local.prefix = below(found[1] if found else "", options.file_prefix) or None
         return [local]
 
+    def text_index(self) -> TextIndex:
+        """The text index of the stored chunks, with what commits since have brought; what is gone drops out of results."""
+        held, commit = TextIndex(self.spark, f"{self.store.folder.path}/text"), self.store.version()
+        if held.meta.get("commit") == commit:
+            return held
+        with contextlib.ExitStack() as writing:
+            try:
+                writing.enter_context(Writing(self.store))
+            except LockedError:
+                if held.meta["versions"]:  # what there is will do while another process writes
+                    return held
+                raise
+            rows = self.store.chunks().select(chunk_key().alias("id"), F.concat_ws("\n", "context", "content").alias("text"))
+            if held.meta["versions"]:
+                rows = rows.join(held.ids(), "id", "left_anti")
+            held.add(rows, commit=commit)
+        return held
+
     def search(self, query: str, options: SearchOptions | None = None) -> DataFrame:
         options = options or SearchOptions()
+        if options.mode not in ("vector", "text", "hybrid"):
+            raise ValueError(f"unknown mode {options.mode!r}: vector, text or hybrid")
+        if options.mode != "vector" and (options.across or options.project or options.negative):
+            raise ValueError("text and hybrid searches take one project and no negative text")
+        if options.mode == "text":
+            return worded(self.targets(options)[0], self.text_index(), query, options)
         vector = self.embedder.embed_query(query)
         meta = self.store.metadata()
         if meta.get("dimensions") and len(vector) != meta["dimensions"]:
             raise DimensionError(f"the query has {len(vector)} dimensions, the index {meta['dimensions']}")
         if meta.get("model") and not same_family(self.spark, meta["model"], self.config.model):
             self.log(f"warning: the index was made with {meta['model']}, not {self.config.model}")
+        if options.mode == "hybrid":
+            return worded(self.targets(options)[0], self.text_index(), query, options, vector)
         negative = self.embedder.embed_query(options.negative) if options.negative else None
         return search(self.targets(options), vector, options, negative)
 

@@ -160,6 +160,10 @@ class Store:
     def _next(self, pointer: dict) -> int:
         return max((v for s in pointer.values() for v in (s["base"], *s["deltas"])), default=0) + 1
 
+    def version(self) -> int:
+        """Of the latest commit; 0 if there is none."""
+        return self._next(self._pointer()) - 1
+
     def commit(self, **tables: DataFrame) -> None:
         """New whole tables; those not given stay."""
         pointer = self._pointer()

@@ -30,6 +30,7 @@ class SearchOptions:
     across: list[str] = field(default_factory=list)
     metric: str = "l2"
     compat: bool = False  # language and min_score after the limit, prefixes as LIKE patterns
+    mode: str = "vector"  # or text (BM25), or hybrid (both, fused by rank); these two search this project only
 
 
 @dataclass
