@@ -86,5 +86,5 @@ def merged_sketches(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def estimates(parts: DataFrame, keys: list[str], quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """(keys, chunks, files, hashes, q50, q90, q99): what sketches tell; chunks is exact."""
-    ranks = [F.kll_sketch_get_quantile_bigint("tokens", F.lit(float(q))).alias(f"q{round(100 * q)}") for q in quantiles]
+    ranks = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_bigint("tokens", F.lit(float(q)))).alias(f"q{round(100 * q)}") for q in quantiles]
     return parts.select(*keys, F.col("n").alias("chunks"), F.hll_sketch_estimate("files").alias("files"), F.hll_sketch_estimate("hashes").alias("hashes"), *ranks)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions.text import token_estimate
+from ..operators import stats
 from ..types import CHUNKS, MANIFEST
 
 
@@ -155,7 +157,19 @@ class Store:
     def _write(self, name: str, df: DataFrame, version: int, gone: bool = False) -> None:
         writer = df.hint("rebalance", "branch") if name == "files" and not gone else df  # a large branch is split, small ones share a task
         writer = writer.write.mode("overwrite")
-        (writer.partitionBy("branch") if name == "files" and not gone else writer).parquet(f"{self.folder.path}/{name}/{'g' if gone else 'v'}={version}")
+        path = f"{self.folder.path}/{name}/{'g' if gone else 'v'}={version}"
+        (writer.partitionBy("branch") if name == "files" and not gone else writer).parquet(path)
+        if name == "chunks" and not gone:
+            added = self.spark.read.schema(df.schema).parquet(path).withColumn("tokens", token_estimate(F.col("content")))
+            stats.sketches(added, []).coalesce(1).write.mode("overwrite").parquet(f"{self.folder.path}/sketches/v={version}")
+
+    def estimates(self) -> DataFrame:
+        """One row of about how many files and hashes the chunks have, and quantiles of their tokens, from a sketch a version; nothing of the tables is read. Rows that later commits took away count until the next base."""
+        state = self._pointer().get("chunks")
+        versions = [] if state is None else [v for v in (state["base"], *state["deltas"]) if self.folder.exists(f"sketches/v={v}")]
+        if not versions:  # none, or written before there were sketches
+            return stats.estimates(stats.sketches(self.chunks().withColumn("tokens", token_estimate(F.col("content"))), []), [])
+        return stats.estimates(stats.merged_sketches(self.spark.read.parquet(*(f"{self.folder.path}/sketches/v={v}" for v in versions)), []), [])
 
     def _next(self, pointer: dict) -> int:
         return max((v for s in pointer.values() for v in (s["base"], *s["deltas"])), default=0) + 1
@@ -223,6 +237,8 @@ class Store:
             live = {state["base"], *state["deltas"]}
             versions = sorted({int(v[2:]) for v in self.folder.names(name) if v[:2] in ("v=", "g=")} - live, reverse=True)
             for v in versions[keep - 1 :]:
+                if name == "chunks":
+                    self.folder.delete(f"sketches/v={v}")
                 self.folder.delete(f"{name}/v={v}")
                 self.folder.delete(f"{name}/g={v}")
 

@@ -40,3 +40,25 @@ def test_sketches_of_versions_add_up(spark):
     whole = stats.estimates(stats.merged_sketches(both, []), []).first()
     assert whole.chunks == len(rows)
     assert stats.estimates(stats.sketches(df.where(F.lit(False)), ["lang"]), ["lang"]).collect() == []
+
+
+def test_a_store_keeps_sketches_by_version(spark, tmp_path, monkeypatch):
+    """A delta commit adds a sketch of its rows; what is told comes from sketches alone."""
+    from tessera.sources import snapshots
+    from tessera.types import CHUNKS
+
+    def chunks(a, b):
+        return spark.createDataFrame([(f"i{k}", f"f{k // 3}", 1, 2, "t", "n", "x" * (4 * (k % 100)), "c", f"h{k % 700}", f"fh{k // 3}", [0.0]) for k in range(a, b)], CHUNKS)
+
+    store = snapshots.Store(spark, f"{tmp_path}/store")
+    assert store.estimates().first().chunks == 0
+    store.append(chunks(0, 900))
+    store.append(chunks(900, 1500))
+    told = store.estimates()
+    row = told.first()
+    assert row.chunks == 1500 and abs(row.files - 500) <= 25 and abs(row.hashes - 700) <= 35 and abs(row.q50 - 50) <= 3
+    assert all("/sketches/" in f for f in told.inputFiles()) and len(store.folder.names("sketches")) == 2
+    store.change(chunks=(None, chunks(0, 300)))
+    assert store.estimates().first().chunks == 1500  # until the next base
+    store.compact()
+    assert store.estimates().first().chunks == 1200 and len(store.folder.names("sketches")) == 1
