@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import catalog, history, retrieval  # noqa: F401  they register their queries with the first
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
