@@ -178,13 +178,15 @@ def embedded(chunks: DataFrame, embedder: Embedder, text: str = "embedText", dim
 def batch_totals(rows: DataFrame, batch: int = BATCH, text: str = "embedText", order: str = "id") -> DataFrame:
     """(batch, texts, tokens): what each batch of ``batch`` rows in the order of a key holds, by the estimate of four characters a token.
 
-    Rows are numbered within ranges of the key, so no task sees them all.
+    Rows are numbered within ranges of the key, so no task sees them all. The ranges are written once: cut anew for the counts,
+    they would be other ranges.
     """
     from pyspark.sql import Window
 
     from ..functions.text import token_estimate
+    from ..sources.scratch import checkpointed
 
-    ranged = rows.select(order, token_estimate(F.col(text)).alias("tokens")).repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    ranged = checkpointed(rows.select(order, token_estimate(F.col(text)).alias("tokens")).repartitionByRange(order).withColumn("part", F.spark_partition_id()))
     before = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     row = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
     numbered = ranged.withColumn("row", row).join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part")  # one row a partition
