@@ -18,7 +18,7 @@ from tessera.llm.bpe import Bpe, bpe_ids, bpe_round_trip
 from tessera.llm.chat_format import SQL, chat_format
 from tessera.llm.license_scan import TEMPLATES, LicenseIndex, license_scan, vocabulary
 from tessera.llm.packing import Tokens, best_fit, best_fit_packing, looked_ahead, packed
-from tessera.llm.quality import BUCKETS, judged, multinomials
+from tessera.llm.quality import BUCKETS, distinct_texts, judged, multinomials, quantile, trusted_texts
 
 tokenizers = pytest.importorskip("tokenizers")
 vocabularies = pytest.importorskip("public_tokenizers")
@@ -327,6 +327,24 @@ def test_quality_held_out(spark):
     assert kept[1][1] >= 0.995 * kept[1][0] and kept[0][1] <= 0.1 * kept[0][0]
 
 
+def test_quality_takes_every_trusted_label(spark):
+    """More than 20,000 of them: each text is fitted on or sets the threshold, and all that are fitted on count."""
+    texts = spark.range(0, 21_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 20_500).alias("text"))
+    known = texts.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    marks = trusted_texts(texts, known).cache()
+    fitted = marks.where("fitted").count()
+    raw, target = multinomials(distinct_texts(texts, marks))
+    assert marks.count() == raw.sum() == 20_500 and target.sum() == fitted and 9_500 < fitted < 11_500
+
+
+@pytest.mark.parametrize("scores", [[3.0], [2.0] * 50, [1.0, 1.0 + 2**-52, 7.0], [float(k * k % 997) / 7 for k in range(5000)]])
+def test_quantile_is_exact(spark, scores):
+    rows = spark.createDataFrame([(s,) for s in scores], "score double").repartition(3)
+    for share in (0.0, 0.002, 0.5, 1.0):
+        assert quantile(rows, share) == pytest.approx(np.quantile(scores, share), rel=1e-15)
+    assert quantile(rows.where("score < 0"), 0.5) is None
+
+
 def test_quality_keeps_texts_with_copies(spark, frame, labels):
     """Copies that no label covers don't speak against a text, and all of them are judged alike."""
     kept = {r.doc_id: (r.kept, r.score) for r in judged(frame, labels).collect()}
