@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.streaming.quiet import PROVIDER, merged, quiet
+from tessera.streaming.quiet import PROVIDER, Runs, merged, quiet
 from tessera.streaming.watch import debounced
 
 
@@ -68,3 +68,51 @@ def test_merging_in_parts_equals_merging_at_once(times, gap, rng):
     two = merged(merged([(t, t, 1) for t in times[:cut]], gap) + [(t, t, 1) for t in times[cut:]], gap)
     assert one == two and sum(n for _, _, n in one) == len(times)
     assert all(b[0] - a[1] > gap for a, b in zip(one, one[1:]))
+
+
+class Held:
+    """A key's state and timers, with the messages that they cost."""
+
+    def __init__(self):
+        self.value, self.timers, self.messages = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def get(self):
+        self.messages += 1
+        return self.value
+
+    def update(self, value):
+        self.messages += 1
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+    def listTimers(self):  # noqa: N802
+        self.messages += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.messages += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.messages += 1
+        self.timers.discard(at)
+
+
+def test_a_key_has_one_timer_however_many_runs():
+    state, runs = Held(), Runs(2 * S, None)
+    runs.init(state)
+    told = list(runs._settle(("a",), [(10 * k * S, 10 * k * S, 1) for k in range(1000)], 0))
+    assert told == [] and state.timers == {2000} and state.messages <= 4
+    for at, left in ((2000, 999), (5_002_000, 499), (9_992_000, 0)):
+        told += list(runs._settle(("a",), runs._held(), at))
+        assert sum(map(len, told)) == 1000 - left and len(state.timers) == (left > 0)
+    assert [n for t in told for n in t["n"]] == [1] * 1000
