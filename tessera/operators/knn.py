@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distance, score
+from .batches import bounded_batches
 from .vectors import Nearest, keys, matrix
 
 #: Query vectors that are sent to every task at once.
@@ -74,6 +75,7 @@ def ranked(near: DataFrame, k: int) -> DataFrame:
 
 def _near(rows: DataFrame, held: list[tuple], asked: DataFrame, k: int, metric: str, vector: str, key: str, query_block: int) -> DataFrame:
     """(query_id, id, distance): the k nearest rows of each task for one part of the queries."""
+    bounded_batches(rows.sparkSession)
     names = np.array([i for i, _ in held])
     blocks = [np.array([v for _, v in held[a : a + query_block]], np.float64) for a in range(0, len(held), query_block)]
     shared = rows.sparkSession.sparkContext.broadcast((names, blocks))

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of double precision differences that exact distances take at once.
-_AT_ONCE = 64 << 20
+#: Bytes of double precision differences that exact distances take at once; queries and rows that are compared at once.
+_AT_ONCE, _QUERIES, _ROWS = 16 << 20, 512, 4096
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -29,7 +29,10 @@ def gaps(q: np.ndarray, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndar
     dots, qq, xx = q @ x.T, (q * q).sum(1), (x * x).sum(1)
     most = xx.max(initial=0.0)
     if metric == "l2":
-        return qq[:, None] + xx - 2 * dots, 1e-12 * (qq + most)
+        dots *= -2
+        dots += qq[:, None]
+        dots += xx
+        return dots, 1e-12 * (qq + most)
     if metric == "dot":
         return -dots, 1e-12 * np.sqrt(qq * most)
     if metric == "cosine":
@@ -61,7 +64,7 @@ def _fewest_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Nearest:
-    """The k nearest rows of some queries, by (distance, id), over any number of batches; memory is queries times k."""
+    """The k nearest rows of some queries, by (distance, id), over any number of batches; memory is queries times k, and one tile of distances."""
 
     def __init__(self, q: np.ndarray, k: int, metric: str = "l2"):
         self.q, self.k, self.metric = q, k, metric
@@ -76,6 +79,11 @@ class Nearest:
             return
         few = _fewest_copies(ids, x, self.k)
         ids, x = ids[few], x[few]
+        for a in range(0, len(of), _QUERIES):
+            for b in range(0, len(ids), _ROWS):
+                self._tile(ids[b : b + _ROWS], x[b : b + _ROWS], of[a : a + _QUERIES])
+
+    def _tile(self, ids: np.ndarray, x: np.ndarray, of: np.ndarray) -> None:
         gap, off = gaps(self.q[of], x, self.metric)
         width = min(len(ids), 2 * self.k + 8)
         near = np.argpartition(gap, width - 1, axis=1)[:, :width]
@@ -106,10 +114,10 @@ class Nearest:
         self.gap[of], self.ids[of], self.used[of] = (np.take_along_axis(v, order, 1) for v in (all_gaps, all_ids, used))
 
     def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query places, ids, distances)."""
-        if self.ids is not None:
-            at, place = np.nonzero(self.used)
-            yield at, self.ids[at, place], self.gap[at, place]
+        """(query places, ids, distances), some queries at a time."""
+        for a in range(0, len(self.q) if self.ids is not None else 0, _ROWS):
+            at, place = np.nonzero(self.used[a : a + _ROWS])
+            yield at + a, self.ids[at + a, place], self.gap[at + a, place]
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
