@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import checkpointed
+from .batches import bounded_batches
 from .vectors import exact, gaps, matrix
 
 #: Nodes of a starting group on average; starting groups each node is put into; rounds at most.
@@ -70,6 +71,7 @@ def _offers(groups: DataFrame, width: int) -> DataFrame:
                 node, neighbour, gap = (np.concatenate(v) for v in out)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(neighbour), pa.array(gap), pa.array(np.ones(len(node), bool))], ["node", "neighbour", "distance", "fresh"])
 
+    bounded_batches(groups.sparkSession)
     return groups.mapInArrow(of_task, _EDGES)
 
 
