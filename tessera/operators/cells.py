@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.snapshots import Folder
+from .batches import bounded_batches
 from .knn import MOST_QUERIES, arrow_type, batch_top_k, ranked
 from .vectors import Nearest, gaps, keys, matrix
 
@@ -39,6 +40,8 @@ from .vectors import Nearest, gaps, keys, matrix
 SAMPLE_PER_CELL, MEASURED = 64, 256
 #: Bytes of centres that are sent to every task, at most.
 MOST_CENTRE_BYTES = 256 << 20
+#: Pairs of a query and a cell that a part of the queries has at most, and distances to centres that are held at once.
+MOST_PAIRS, MOST_GAPS = 1 << 24, 1 << 20
 
 
 def sampled(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
@@ -56,10 +59,16 @@ def fit_centres(rows: DataFrame, cells: int, seed: int = 0, rounds: int = 12, ve
     return np.unique(np.array(model.clusterCenters(), np.float64), axis=0)
 
 
+def at_once(centres: np.ndarray) -> int:
+    """Vectors that are held against all centres at once."""
+    return max(16, min(1024, MOST_GAPS // max(1, len(centres))))
+
+
 def with_cell(rows: DataFrame, centres: np.ndarray, vector: str = "vector") -> DataFrame:
     """The rows with a vector, with ``cell`` and the distance ``off`` (not squared) from its centre."""
     if centres.nbytes > MOST_CENTRE_BYTES:
         raise ValueError(f"{len(centres)} centres take more than {MOST_CENTRE_BYTES} bytes in every task: use fewer cells")
+    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(centres)  # bounded above
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, cell int, off double"
 
@@ -68,11 +77,11 @@ def with_cell(rows: DataFrame, centres: np.ndarray, vector: str = "vector") -> D
             if not batch.num_rows:
                 continue
             x = matrix(batch[vector])
-            gap = np.empty((len(x), 2))
-            for a in range(0, len(x), 1024):
-                near = gaps(x[a : a + 1024], shared.value, "l2")[0].argmin(1)
-                gap[a : a + 1024, 0] = near
-                gap[a : a + 1024, 1] = np.sqrt(((x[a : a + 1024] - shared.value[near]) ** 2).sum(1))
+            gap, step = np.empty((len(x), 2)), at_once(shared.value)
+            for a in range(0, len(x), step):
+                near = gaps(x[a : a + step], shared.value, "l2")[0].argmin(1)
+                gap[a : a + step, 0] = near
+                gap[a : a + step, 1] = np.sqrt(((x[a : a + step] - shared.value[near]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gap[:, 0].astype(np.int32)), pa.array(gap[:, 1])], [*batch.schema.names, "cell", "off"])
 
     return rows.where(F.col(vector).isNotNull()).mapInArrow(of_task, schema)
@@ -159,27 +168,32 @@ class CellIndex:
         return int(places[min(len(places) - 1, math.ceil(recall * len(places)) - 1)]) + 1
 
     def top_k(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, query_key: str = "query_id", vector: str = "vector") -> DataFrame:
-        """(query_id, id, distance, rank, score) of the k nearest in the probed cells, or of all if exact. Queries are taken in parts of MOST_QUERIES."""
+        """(query_id, id, distance, rank, score) of the k nearest in the probed cells, or of all if exact. Queries are taken in parts of MOST_QUERIES, or fewer where cells are many."""
         kind = queries.schema[query_key].dataType.simpleString()
         empty = self.spark.createDataFrame([], f"query_id {kind}, id {self.meta['id']}, distance double")
         if not self.meta["cells"]:
             return ranked(empty, k)
         centres, radii = self.centres()
         asked, found = queries.where(F.col(vector).isNotNull()).select(query_key, vector).toLocalIterator(), empty
-        while held := list(islice(asked, MOST_QUERIES)):
+        while held := list(islice(asked, max(1, min(MOST_QUERIES, MOST_PAIRS // len(centres))))):
             names, q = [r[0] for r in held], np.array([r[1] for r in held], np.float64)
             chosen = self._nearest_cells(q, centres, radii, probes or self.meta["probes"])
             if exact:
                 bound = self._bounds(names, q, queries.select(query_key), chosen, k)
-                chosen = [np.flatnonzero((radii >= 0) & (np.sqrt(np.maximum(g, 0)) - radii <= np.sqrt(b) * (1 + 1e-9) + 1e-9)) for g, b in zip(gaps(q, centres, "l2")[0], bound, strict=True)]
+                chosen, step = [], at_once(centres)
+                for a in range(0, len(q), step):
+                    chosen += [np.flatnonzero((radii >= 0) & (np.sqrt(np.maximum(g, 0)) - radii <= np.sqrt(b) * (1 + 1e-9) + 1e-9)).astype(np.int32) for g, b in zip(gaps(q[a : a + step], centres, "l2")[0], bound[a : a + step], strict=True)]
             found = found.unionByName(self._probed(names, q, queries.select(query_key), chosen, k))
         return ranked(found, k)
 
     @staticmethod
     def _nearest_cells(q: np.ndarray, centres: np.ndarray, radii: np.ndarray, probes: int) -> list[np.ndarray]:
-        gap = gaps(q, centres, "l2")[0]
-        gap[:, radii < 0] = np.inf
-        return [order[: min(probes, int((radii >= 0).sum()))] for order in gap.argsort(1, kind="stable")]
+        chosen, step = [], at_once(centres)
+        for a in range(0, len(q), step):
+            gap = gaps(q[a : a + step], centres, "l2")[0]
+            gap[:, radii < 0] = np.inf
+            chosen += [order[: min(probes, int((radii >= 0).sum()))].astype(np.int32) for order in gap.argsort(1, kind="stable")]
+        return chosen
 
     def _bounds(self, names: list, q: np.ndarray, asked: DataFrame, chosen: list[np.ndarray], k: int) -> np.ndarray:
         """The k-th distance that a few cells give; infinite where they hold fewer rows. One number a query of this part."""
@@ -189,16 +203,16 @@ class CellIndex:
 
     def _probed(self, names: list, q: np.ndarray, asked: DataFrame, chosen: list[np.ndarray], k: int) -> DataFrame:
         """(query_id, id, distance): the k nearest of each task's rows for each query that probes their cell."""
-        by_cell: dict[int, list[int]] = {}
+        probing = np.zeros((1 + max((int(c.max()) for c in chosen if len(c)), default=0), len(chosen)), bool)  # bounded by MOST_PAIRS
         for j, cells in enumerate(chosen):
-            for c in cells:
-                by_cell.setdefault(int(c), []).append(j)
-        rows = self.vectors().where(F.col("cell").isin(list(by_cell)))  # partitions of other cells aren't listed for the scan
-        shared = self.spark.sparkContext.broadcast((names, q, {c: np.array(js) for c, js in by_cell.items()}))
+            probing[cells, j] = True
+        rows = self.vectors().where(F.col("cell").isin(np.flatnonzero(probing.any(1)).tolist()))  # partitions of other cells aren't listed for the scan
+        bounded_batches(self.spark)
+        shared = self.spark.sparkContext.broadcast((names, q, np.packbits(probing, axis=1)))  # one bit a query and cell
         types = arrow_type(asked, asked.columns[0]), arrow_type(rows, "id")
 
         def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, by_cell = shared.value
+            names, q, bits = shared.value
             nearest = Nearest(q, k)
             for batch in batches:
                 if not batch.num_rows:
@@ -206,7 +220,7 @@ class CellIndex:
                 ids, x, cell = keys(batch["id"]), matrix(batch["vector"]), batch["cell"].to_numpy()
                 order = cell.argsort(kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                    nearest.add(ids[part], x[part], by_cell[int(cell[part[0]])])
+                    nearest.add(ids[part], x[part], np.flatnonzero(np.unpackbits(bits[cell[part[0]]], count=len(q))))
             for at, ids, gap in nearest.found():
                 yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in at], types[0]), pa.array(ids.tolist(), types[1]), pa.array(gap)], ["query_id", "id", "distance"])
 

@@ -79,9 +79,10 @@ class Nearest:
             return
         few = _fewest_copies(ids, x, self.k)
         ids, x = ids[few], x[few]
-        for a in range(0, len(of), _QUERIES):
+        step = _QUERIES * max(1, _ROWS // len(ids))  # few rows take more queries at once
+        for a in range(0, len(of), step):
             for b in range(0, len(ids), _ROWS):
-                self._tile(ids[b : b + _ROWS], x[b : b + _ROWS], of[a : a + _QUERIES])
+                self._tile(ids[b : b + _ROWS], x[b : b + _ROWS], of[a : a + step])
 
     def _tile(self, ids: np.ndarray, x: np.ndarray, of: np.ndarray) -> None:
         gap, off = gaps(self.q[of], x, self.metric)
