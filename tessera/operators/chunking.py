@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.text import chunk_id, context_header, extension, short_hash, token_estimate
 from ..types import CHUNK_COLUMNS
 from . import syntax
+from .batches import bounded_batches
 
 WINDOW_LINES, STRIDE_LINES = 50, 25
+#: Characters of chunks that a task hands on at once.
+CHARS_AT_ONCE = 4 << 20
 COLUMNS = ["id", "filePath", "startLine", "endLine", "type", "name", "content", "context", "hash"]
 
 
@@ -49,9 +52,18 @@ def syntax_chunks(files: DataFrame, parsers: dict[str, Callable] | None = None)
 
     def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for path, text in zip(batch["filePath"], batch["text"], strict=True) for row in syntax.chunk_file(path, text or "", known)]
-            yield pd.DataFrame(rows, columns=COLUMNS)
+            rows, chars = [], 0
+            for path, text in zip(batch["filePath"], batch["text"], strict=True):
+                found = syntax.chunk_file(path, text or "", known)
+                rows += found
+                chars += sum(len(row[6]) for row in found)
+                if chars >= CHARS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows, chars = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=COLUMNS)
 
+    bounded_batches(files.sparkSession)
     handled = extension(F.col("filePath")).isin([e for name in known for e in syntax.extensions_of(name)])
     parsed = files.where(handled).select("filePath", "text").mapInPandas(of_task, CHUNK_COLUMNS)
     return parsed.unionByName(window_chunks(files.where(~handled).select("filePath", "text")).select(COLUMNS))
