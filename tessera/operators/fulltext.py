@@ -35,16 +35,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.snapshots import Folder
+from .batches import bounded_batches
 from .knn import arrow_type
 
 #: Bounds of a segment; postings of a block.
 SEGMENT_DOCS, SEGMENT_WORDS, BLOCK = 65_536, 2_000_000, 128
+#: Bytes of text that are cut into words at once, but for one longer text.
+TEXT_AT_ONCE = 1 << 20
 #: Queries, and words of them, that are sent to every task at once.
 MOST_QUERIES, MOST_WORDS = 4_096, 400_000
 K1, B = 1.2, 0.75
 _BETWEEN = r"[\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]+"
 
 
+def cuts(sizes: np.ndarray, most: int, rows: int = 4096) -> list[tuple[int, int]]:
+    """(first, number) of runs of at most ``rows`` rows and ``most`` bytes, or of one row."""
+    out, a, total = [], 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > a and (total + size > most or k - a == rows):
+            out.append((a, k - a))
+            a, total = k, 0
+        total += size
+    return [*out, (a, len(sizes) - a)] if len(sizes) else out
+
+
 def words_of(texts: pa.Array) -> pa.ListArray:
     """The words of each text; empty strings may stand at the ends."""
     return pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), pattern=_BETWEEN)
@@ -137,7 +151,9 @@ def _segment(ids: list[pa.Array], words: list[pa.Array], counts: np.ndarray, nam
     """The rows of one segment: its documents under the empty term, then its terms."""
     lengths, _ = pack(counts)
     yield pa.RecordBatch.from_pylist([{"segment": name, "term": "", "docs": len(counts), "words": int(counts.sum()), "lengths": lengths.tobytes(), "ids": pa.concat_arrays(ids).to_pylist()}], schema)
-    coded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+    coded = pa.chunked_array(words, pa.string()).combine_chunks()
+    ids.clear(), words.clear()
+    coded = coded.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
     if not len(code):
         return
@@ -178,8 +194,8 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         part = None
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                rows = batch.slice(a, 4096)
+            for a, n in cuts(pc.fill_null(pc.binary_length(batch["t"]), 0).to_numpy(zero_copy_only=False), TEXT_AT_ONCE):
+                rows = batch.slice(a, n)
                 part = rows["part"][0].as_py() if part is None else part
                 lists = words_of(rows["t"])
                 flat, parents = lists.flatten(), lists.value_parent_indices().to_numpy()
@@ -192,6 +208,7 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
         if ids:
             yield from flush()
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("t"), F.spark_partition_id().alias("part"))
     return source.mapInArrow(of_task, f"segment string, term string, docs long, words long, heads binary, blocks binary, positions binary, lengths binary, ids array<{kind}>")
 
@@ -327,6 +344,7 @@ class TextIndex:
 
     def _segments_of(self, terms: list[str], *columns: str) -> DataFrame:
         """For each segment the rows of some terms that it has, its documents' row among them."""
+        bounded_batches(self.spark)
         return self._of([*terms, ""]).groupBy("v", "segment").agg(F.collect_list(F.struct("term", *columns)).alias("held"))
 
     def top_k(self, queries: DataFrame, k: int, query_key: str = "query_id", text: str = "text") -> DataFrame:
